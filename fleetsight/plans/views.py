@@ -8,6 +8,7 @@ they only lay out inputs and hold no detection logic.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetsight.functions.times import ns_timestamp
 from fleetsight.schema import KINDS
@@ -238,7 +239,8 @@ def signal_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project(table(spark, sf_dir, "events"), HEARTBEAT_ROW)
+    rows = _project(table(spark, sf_dir, "events"), HEARTBEAT_ROW)
+    return rows.withColumn("hb_time", F.col("hb_time").cast("timestamp_ntz"))
 
 
 def ntz(ns: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 FRAME_MAGIC = 0x21544E53
 ZSTD_MAGIC = 0xFD2FB528
 GZIP_MAGIC = 0x8B1F
+MAX_FILE_BYTES = 100 * 1024 * 1024
 MAX_DEPTH = 2
 MAX_UNPACKED = 500 * 1024 * 1024
 MAX_RATIO = 100
@@ -160,20 +161,23 @@ def _extract(max_file: int, max_unpacked: int, max_ratio: int):
     return run
 
 
-def read_frames(
-    spark: SparkSession,
-    path,
-    max_file_bytes: int = 100 * 1024 * 1024,
+def extract_frames(
+    files: DataFrame,
+    max_file_bytes: int = MAX_FILE_BYTES,
     max_unpacked: int = MAX_UNPACKED,
     max_ratio: int = MAX_RATIO,
-) -> tuple[DataFrame, DataFrame]:
-    """(payload rows, rejected files) of framed spool files."""
-    files = spark.read.format("binaryFile").load(path)
-    # An oversized file is refused by its length, without loading its bytes into the task.
+) -> DataFrame:
+    """Payload rows of files given as (path, length, content); broken files give one error row."""
+    # An oversized file is refused by its length, without handing its bytes to the task.
     content = F.when(F.col("length") <= max_file_bytes, F.col("content"))
-    rows = files.select("path", "length", content.alias("content")).mapInPandas(
+    return files.select("path", "length", content.alias("content")).mapInPandas(
         _extract(max_file_bytes, max_unpacked, max_ratio), FRAMES_DDL
     )
+
+
+def read_frames(spark: SparkSession, path, **limits) -> tuple[DataFrame, DataFrame]:
+    """(payload rows, rejected files) of framed spool files."""
+    rows = extract_frames(spark.read.format("binaryFile").load(path), **limits)
     good = rows.where(F.col("error").isNull()).drop("error")
     bad = rows.where(F.col("error").isNotNull()).select("source_file", F.col("error").alias("reason"))
     return good, bad

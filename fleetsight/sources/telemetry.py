@@ -47,21 +47,18 @@ def parse_lines(lines: DataFrame, name_style: str = "proto") -> DataFrame:
     """
     schema = _record_schema(name_style)
     read = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
-    rows = (
-        lines.withColumn("value", text)
-        .where(F.col("value") != "")
-        .withColumn(
-            "_r", F.from_json("value", read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        )
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    text = lines.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).where(F.col("value") != "")
+    # Inlined from a one-element array: a plain field access would let the optimiser parse the
+    # text anew for every column.
+    rows = text.select("value", SOURCE, F.inline(F.array(F.from_json("value", read, options))))
     wanted = telemetry_schema()
     columns = [
-        F.col("_r").getField(given.name).cast(want.dataType).alias(want.name)
+        F.col(f"`{given.name}`").cast(want.dataType).alias(want.name)
         for given, want in zip(schema.fields, wanted.fields)
     ]
     not_object = ~F.startswith(F.col("value"), F.lit("{"))
-    corrupt = F.coalesce(F.col("_r").getField(CORRUPT), F.when(not_object, F.col("value")))
+    corrupt = F.coalesce(F.col(CORRUPT), F.when(not_object, F.col("value")))
     return rows.select(*columns, corrupt.alias(CORRUPT), SOURCE)
 
 
