@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -107,15 +108,28 @@ def ingest_flags(batch: DataFrame, store: DataFrame, order: Sequence[str]) -> Da
     )
 
 
-def append_signals(batch: DataFrame, path: str, order: Sequence[str], received_at: Column | None = None) -> None:
-    """Validated, first-wins append to a Parquet store, partitioned by signal date."""
+def append_signals(
+    batch: DataFrame,
+    path: str,
+    order: Sequence[str],
+    received_at: Column | None = None,
+    ids_fix_time: bool = False,
+) -> None:
+    """Validated, first-wins append to a Parquet store, partitioned by signal date.
+
+    ``ids_fix_time`` says that equal ids have equal times, as ids made by this package do; then
+    only the store's partitions for the batch's dates are read to find known ids.
+    """
     spark = batch.sparkSession
     accepted, _ = split_valid(batch, signal_reasons(batch))
-    store = spark.read.parquet(path) if _exists(spark, path) else None
-    fresh = new_signals(accepted, store, order)
+    dated = accepted.withColumn("ts_date", F.to_date("ts"))
+    fresh = new_signals(dated, None, order)
+    if _has_store(spark, path):
+        keys = ["signal_id", "ts_date"] if ids_fix_time else ["signal_id"]
+        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     received = F.current_timestamp() if received_at is None else received_at
     (
-        fresh.withColumns({"received_at": received, "ts_date": F.to_date("ts")})
+        fresh.withColumn("received_at", received)
         .hint("rebalance", "ts_date")
         .write.mode("append")
         .partitionBy("ts_date")
@@ -123,14 +137,11 @@ def append_signals(batch: DataFrame, path: str, order: Sequence[str], received_a
     )
 
 
-def _exists(spark, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
+def _has_store(spark: SparkSession, path: str) -> bool:
     try:
-        spark.read.parquet(path).schema  # noqa: B018
+        return "signal_id" in spark.read.parquet(path).columns
     except AnalysisException:
         return False
-    return True
 
 
 def upsert_heartbeats(store: DataFrame, batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
