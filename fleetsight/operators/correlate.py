@@ -91,8 +91,8 @@ def fold_windows(
 ) -> DataFrame:
     """Fires of every (rule, scope, group) of ``correlation_events``.
 
-    Output: group columns, ``ts_ns``/``seq`` of the firing event, ``event_count``,
-    ``first_ns``/``first_seq`` of the oldest live event, ``distinct_values`` and ``payload``.
+    Output: group columns, ``ts_ns``/``seq`` of the firing event (``nth`` among events equal in
+    both), ``event_count``, ``first_ns``/``first_seq`` of the oldest live event, ``distinct_values`` and ``payload``.
     """
     if not specs:
         raise ValueError("no window specs")
@@ -128,6 +128,7 @@ def fold_windows(
         *GROUP,
         F.col("pos.ts_ns").alias("ts_ns"),
         F.col("pos.seq").alias("seq"),
+        F.col("pos.ord").alias("nth"),
         threshold.cast("int").alias("event_count"),
         F.col("live_from.ts_ns").alias("first_ns"),
         F.col("live_from.seq").alias("first_seq"),

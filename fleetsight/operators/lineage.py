@@ -22,49 +22,57 @@ KEY = ["machine_id", "boot", "pid", "pidversion"]
 _DETAILS = [
     "path", "user", "uid", "group", "gid", "session_id", "start_time", "args",
 ]
+NODE_FIELDS = ["boot", "pid", "pidversion", "parent_pid", "parent_pidversion", *_DETAILS]
 # Labels by depth.
 RELATIONS = ("target", "parent", "ancestor")
 
 
-def process_nodes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """One node per execution with a target id, from normalised events, with ``keep`` columns."""
-    target, instigator = "execution.target", "execution.instigator"
-    parent = F.coalesce(F.col(f"{target}.parent_id"), F.col(f"{instigator}.id"))
-    responsible = F.col(f"{target}.responsible_id")
-    zero = F.lit(0)
-
-    def part(block: Column, name: str) -> Column:
-        return F.when(block.isNotNull(), F.coalesce(block.getField(name), zero))
-
-    return events.where(
-        (F.col("kind") == "execution") & F.col(f"{target}.id").isNotNull()
-    ).select(
+def _own_columns() -> dict[str, str]:
+    """A node's columns out of a normalised execution event."""
+    target = "execution.target"
+    parent = f"coalesce({target}.parent_id, execution.instigator.id)"
+
+    def part(block: str, field: str) -> str:
+        return f"CASE WHEN {block} IS NOT NULL THEN coalesce({block}.{field}, 0) END"
+
+    return {
+        "boot": "boot_session_uuid",
+        "pid": f"coalesce({target}.id.pid, 0)",
+        "pidversion": f"coalesce({target}.id.pidversion, 0)",
+        "parent_pid": part(parent, "pid"),
+        "parent_pidversion": part(parent, "pidversion"),
+        "responsible_pid": part(f"{target}.responsible_id", "pid"),
+        "responsible_pidversion": part(f"{target}.responsible_id", "pidversion"),
+        "path": f"coalesce({target}.executable.path, '')",
+        "user": f"coalesce({target}.effective_user.name, '')",
+        "uid": f"coalesce({target}.effective_user.uid, 0)",
+        "group": f"coalesce({target}.effective_group.name, '')",
+        "gid": f"coalesce({target}.effective_group.gid, 0)",
+        "session_id": f"coalesce({target}.session_id, 0)",
+        "start_time": f"cast({target}.start_time AS string)",
+        "args": "decoded_args",
+    }
+
+
+def process_nodes(events: DataFrame) -> DataFrame:
+    """One node per execution with a target id, from normalised events."""
+    return events.where("kind = 'execution' AND execution.target.id IS NOT NULL").selectExpr(
         "machine_id",
-        F.col("boot_session_uuid").alias("boot"),
-        F.coalesce(F.col(f"{target}.id.pid"), zero).alias("pid"),
-        F.coalesce(F.col(f"{target}.id.pidversion"), zero).alias("pidversion"),
-        part(parent, "pid").alias("parent_pid"),
-        part(parent, "pidversion").alias("parent_pidversion"),
-        part(responsible, "pid").alias("responsible_pid"),
-        part(responsible, "pidversion").alias("responsible_pidversion"),
-        F.coalesce(F.col(f"{target}.executable.path"), F.lit("")).alias("path"),
-        F.coalesce(F.col(f"{target}.effective_user.name"), F.lit("")).alias("user"),
-        F.coalesce(F.col(f"{target}.effective_user.uid"), zero).alias("uid"),
-        F.coalesce(F.col(f"{target}.effective_group.name"), F.lit("")).alias("group"),
-        F.coalesce(F.col(f"{target}.effective_group.gid"), zero).alias("gid"),
-        F.coalesce(F.col(f"{target}.session_id"), zero).alias("session_id"),
-        F.col(f"{target}.start_time").cast("string").alias("start_time"),
-        F.col("decoded_args").alias("args"),
-        F.col("order_ns").alias("node_ns"),
-        F.col("event_seq").cast("bigint").alias("node_seq"),
-        *keep,
+        *[f"{sql} AS `{name}`" for name, sql in _own_columns().items()],
+        "order_ns AS node_ns",
+        "cast(event_seq AS bigint) AS node_seq",
     )
 
 
+def own_node() -> Column:
+    """The node of an execution event as one value, shaped as ``node_struct``."""
+    columns = _own_columns()
+    return F.struct(*[F.expr(columns[n]).alias(n) for n in NODE_FIELDS])
+
+
 def node_struct() -> Column:
     """A node's columns as one value."""
-    names = ["boot", "pid", "pidversion", "parent_pid", "parent_pidversion", *_DETAILS]
-    return F.struct(*[F.col(f"`{n}`").alias(n) for n in names])
+    return F.struct(*[F.col(f"`{n}`").alias(n) for n in NODE_FIELDS])
 
 
 def process_chains(

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from fleetsight.operators import first_seen, lineage
 from fleetsight.operators.correlate import correlation_events, fold_windows, window_specs
-from fleetsight.operators.match import match, per_rule
+from fleetsight.operators.match import holds, match, per_rule
 from fleetsight.operators.signals import (
+    SIGNAL_COLUMNS,
     as_signals,
     enrich,
     signals_from_baselines,
@@ -19,13 +20,9 @@ from fleetsight.operators.signals import (
     window_payload,
 )
 from fleetsight.schema import DEFAULT_MAX_EVENTS, DEFAULT_TREE_DEPTH, DEFAULT_TREE_TTL
+from fleetsight.session import ensure_checkpoint_dir
 from fleetsight.sources.catalogue import EnabledRules
 
-_SIGNAL_REST = [
-    "ts", "ts_ns", "host_id", "rule_id", "rule_description", "status", "severity", "title", "tags",
-    "context", "source_seq",
-]
-
 
 @dataclass
 class Settings:
@@ -52,25 +49,34 @@ def simple_signals(events: DataFrame, rules: EnabledRules, settings: Settings) -
     first = F.when(F.col("artifact_first_seen") & (F.col("target_sha256") != ""), F.lit(True))
     signals = enrich(signals, {"first_seen": first})
     if rules.wants_tree:
-        signals = with_process_tree(signals, events, rules, settings)
-    return signals
+        return with_process_tree(signals, events, rules, settings)
+    return as_signals(signals)
 
 
 def with_process_tree(
     signals: DataFrame, events: DataFrame, rules: EnabledRules, settings: Settings
 ) -> DataFrame:
-    """Adds ``process_tree`` to the context of signals whose rule asks for it."""
+    """Adds ``process_tree`` to the context of signals whose rule asks for it.
+
+    Signals go two ways, with a tree and without, so they are checkpointed first: events are
+    matched once, and the ancestor joins start from stored rows.
+    """
     asked = per_rule(rules.rules, lambda r: F.lit(bool(r["include_process_tree"])), F.lit(False))
-    target = F.col("execution.target.id")
-    wanted = asked & (F.col("kind") == "execution") & target.isNotNull()
-    marked = signals.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
-    base = as_signals(marked.where(~F.col("_wanted")))
-    own = lineage.process_nodes(marked.where("_wanted"), keep=["signal_id", *_SIGNAL_REST])
-    starts = own.withColumns({
-        "own_node": lineage.node_struct(),
-        "match_ns": F.col("node_ns"),
-        "match_seq": F.col("node_seq"),
-    }).select("machine_id", "boot", "pid", "pidversion", "match_ns", "match_seq", "own_node", "signal_id", *_SIGNAL_REST)
+    node = "_node"
+    wanted = asked & (F.col("kind") == "execution") & F.col("execution.target.id").isNotNull()
+    ensure_checkpoint_dir(signals.sparkSession)
+    stored = signals.select(
+        *SIGNAL_COLUMNS, F.when(F.coalesce(wanted, F.lit(False)), lineage.own_node()).alias(node)
+    ).checkpoint()
+    base = as_signals(stored.where(F.col(node).isNull()))
+    starts = stored.where(F.col(node).isNotNull()).select(
+        *SIGNAL_COLUMNS,
+        F.col("host_id").alias("machine_id"),
+        *[F.col(f"{node}.{k}").alias(k) for k in ("boot", "pid", "pidversion")],
+        F.col("ts_ns").alias("match_ns"),
+        F.col("source_seq").alias("match_seq"),
+        F.col(node).alias("own_node"),
+    )
     chains = lineage.process_chains(
         starts, lineage.process_nodes(events), settings.tree_depth, settings.tree_ttl
     )
@@ -79,12 +85,29 @@ def with_process_tree(
 
 
 def correlation_signals(events: DataFrame, rules: EnabledRules, settings: Settings) -> DataFrame:
+    """Signals of window rules.
+
+    Only keys and the counted value go through the windows; the firing events, few among those
+    that pass a filter, are fetched afterwards by host, time and sequence.
+    """
     found = correlation_events(
-        events, rules.correlations, settings.scope, settings.strict,
-        window_payload(events, rules.correlations, settings.strict),
+        events, rules.correlations, settings.scope, settings.strict, F.col("machine_id")
     )
     fires = fold_windows(found, window_specs(rules.correlations, settings.max_events))
-    return signals_from_windows(fires, rules.correlations)
+    passes = F.lit(False)
+    for rule in rules.correlations:
+        passes = passes | holds(rule["expr"])
+    sample = events.where(passes & F.col("event_time_ns").isNotNull())
+    fire = fires.withColumnRenamed("payload", "machine_id").withColumns({
+        "event_time_ns": F.col("ts_ns"), "event_seq": F.col("seq"),
+    })
+    joined = fire.join(sample, ["machine_id", "event_time_ns", "event_seq"])
+    signals = signals_from_windows(
+        joined.select(*fires.drop("payload").columns, window_payload(events, rules.correlations, settings.strict).alias("payload")),
+        rules.correlations,
+    )
+    # Copies of one event join with each other; each fire is kept once.
+    return signals.dropDuplicates(["rule_idx", "scope", "group_key", "ts_ns", "seq", "nth"])
 
 
 def baseline_matches(
@@ -105,7 +128,7 @@ def detect(
     settings = settings or Settings()
     parts = []
     if rules.rules:
-        parts.append(as_signals(simple_signals(events, rules, settings)))
+        parts.append(simple_signals(events, rules, settings))
     if rules.correlations:
         parts.append(as_signals(correlation_signals(events, rules, settings)))
     if rules.baselines:

@@ -338,8 +338,9 @@ def artifact_first_seen(spark, sf_dir):
     ev = _events(spark, sf_dir)
     rules = _rules(spark, ev)
     signals = plan.simple_signals(ev, EnabledRules([_no_tree(r) for r in rules.rules], [], []), plan.Settings())
+    sha = F.coalesce(F.get_json_object("context", "$.target_sha256"), F.lit(""))
     return signals.select(
-        "signal_id", "rule_id", "target_sha256",
+        "signal_id", "rule_id", sha.alias("target_sha256"),
         F.coalesce(F.get_json_object("context", "$.first_seen"), F.lit("")).alias("first_seen"),
     )
 
