@@ -21,7 +21,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from fleetsight.functions.durations import duration_ns
 from fleetsight.functions.paths import keyed_text, path_text
 from fleetsight.operators.match import match, per_rule
-from fleetsight.operators.slices import MIN_SLICE_NS, slice_width, with_slices
+from fleetsight.operators.slices import (
+    MIN_SLICE_NS,
+    NARROW_SLICE_NS,
+    ROWS_PER_PIECE,
+    slice_width,
+    with_even_slices,
+    with_slices,
+)
 from fleetsight.operators.window_fold import Fire, SliceFold, WindowSpec, entry_applies
 from fleetsight.schema import DEFAULT_MAX_EVENTS
 
@@ -87,7 +94,10 @@ def correlation_events(
 
 
 def fold_windows(
-    events: DataFrame, specs: Sequence[WindowSpec], min_slice_ns: int = MIN_SLICE_NS
+    events: DataFrame,
+    specs: Sequence[WindowSpec],
+    min_slice_ns: int = MIN_SLICE_NS,
+    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
     """Fires of every (rule, scope, group) of ``correlation_events``.
 
@@ -102,9 +112,13 @@ def fold_windows(
         lambda s: F.lit(slice_width(s.window_ns, min_slice_ns) if s.window_ns else 0).cast("bigint"),
         F.lit(0).cast("bigint"),
     )
+    if _spreads(specs, min_slice_ns):
+        sliced = with_slices(events, "ts_ns", look_back, width)
+    else:
+        newest = max(s.reach for s in specs) - 1
+        sliced = with_even_slices(events, GROUP, ORDER, look_back, width, newest, rows_per_piece)
     ordered = (
-        with_slices(events, "ts_ns", look_back, width)
-        .repartition(*GROUP, "slice")
+        sliced.repartition(*GROUP, "slice")
         .sortWithinPartitions(*GROUP, "slice", *ORDER)
         .select(*GROUP, "slice", *ORDER, "carried", "value", "payload")
     )
@@ -137,6 +151,13 @@ def fold_windows(
     )
 
 
+def _spreads(specs: Sequence[WindowSpec], min_slice_ns: int) -> bool:
+    """Whether plain slices do: they are narrow, or rules without a cap need the whole look-back."""
+    unbounded = any(s.reach <= 0 for s in specs)
+    widest = max(slice_width(s.window_ns, min_slice_ns) for s in specs)
+    return unbounded or widest <= NARROW_SLICE_NS
+
+
 def correlate(
     df: DataFrame,
     rules: Sequence[Row],
@@ -159,7 +180,7 @@ def windowed_counts(events: DataFrame, specs: Sequence[WindowSpec]) -> DataFrame
     """
     look_back = per_rule(specs, lambda s: F.lit(s.window_ns).cast("bigint"), F.lit(0).cast("bigint"))
     width = per_rule(specs, lambda s: F.lit(slice_width(s.window_ns)).cast("bigint"), F.lit(1).cast("bigint"))
-    keyed = with_slices(events.withColumn("_back", look_back), "ts_ns", look_back, width).repartition(
+    keyed = with_slices(events.withColumn("_stay", look_back), "ts_ns", look_back, width).repartition(
         *GROUP, "slice"
     )
     by_value = W.partitionBy(*GROUP, "slice", "value").orderBy(*ORDER)
@@ -173,7 +194,7 @@ def windowed_counts(events: DataFrame, specs: Sequence[WindowSpec]) -> DataFrame
         "_next_ns": F.lead("ts_ns").over(by_value),
         "_next_seq": F.lead("seq").over(by_value),
     })
-    leaves = F.col("ts_ns") + F.col("_back")
+    leaves = F.col("ts_ns") + F.col("_stay")
     # At one instant arrivals come before departures, as the window's edge is inside. A value seen
     # again hands its place over just before the later event counts.
     handed_over = has_value & F.col("_next_ns").isNotNull() & (F.col("_next_ns") <= leaves)

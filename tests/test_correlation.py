@@ -154,6 +154,34 @@ def test_random_sequences_equal_a_plain_fold(spark, seed):
     assert len(got) > 50
 
 
+@pytest.mark.parametrize("rows_per_piece", [7, 40, 150])
+def test_busy_slices_are_cut_and_still_exact(spark, monkeypatch, rows_per_piece):
+    from fleetsight.operators import correlate as module
+
+    monkeypatch.setattr(module, "NARROW_SLICE_NS", 0)
+    rng = random.Random(rows_per_piece)
+    specs = [
+        WindowSpec(400 * SECOND, 4, 12, True),
+        WindowSpec(300 * SECOND, 5, 1000, False),
+        WindowSpec(0, 6, 1000, False),
+    ]
+    groups = ["hot", "b", "c", "d"]
+    rows = [(idx, *r) for idx in range(3) for r in random_rows(rng, groups, 500)]
+    df = spark.createDataFrame(
+        [(i, "m", g, v, ns, s, None) for i, g, ns, s, v in rows],
+        "rule_idx int, scope string, group_key string, value string, ts_ns bigint, seq bigint, payload string",
+    )
+    fires = fold_windows(df, specs, min_slice_ns=SECOND, rows_per_piece=rows_per_piece)
+    got = sorted((r.rule_idx, r.group_key, r.ts_ns, r.seq, r.event_count, r.first_ns, r.first_seq) for r in fires.collect())
+    want = []
+    for idx, spec in enumerate(specs):
+        for g in groups:
+            mine = sorted((ns, s, v) for i, gg, ns, s, v in rows if (i, gg) == (idx, g))
+            want += [(idx, g, *f[:5]) for f in plain_fold(mine, spec)]
+    assert got == sorted(want)
+    assert len(got) > 50
+
+
 def test_narrow_slices_settle_by_entry():
     """The fold alone: any slicing gives what one pass gives."""
     rng = random.Random(7)
