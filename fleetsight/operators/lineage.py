@@ -99,54 +99,41 @@ def process_chains(
     )
     frame = with_slices(starts, "match_ns", F.lit(0).cast("bigint"), width).drop("carried")
     keep = [c for c in frame.columns if c != "own_node"]
-    if "own_node" in starts.columns:
-        found = ["_n0"]
-        frame = frame.selectExpr(*_quoted(keep), "own_node AS _n0", *_next_key("own_node"))
-    else:
-        found = []
-        frame = frame.selectExpr(*_quoted(keep), "true AS _go", "pid AS _pid", "pidversion AS _ver")
+    found = ["_n0"] if "own_node" in starts.columns else []
+    frame = frame.withColumnRenamed("own_node", "_n0")
     while len(found) < max_depth:
+        condition = F.expr(_valid_at_match(found[-1] if found else None, ttl_ns))
         name = f"_n{len(found)}"
-        joined = frame.alias("f").join(versions.alias("v"), F.expr(_valid_at_match(ttl_ns)), "left")
         passed = [f"f.`{c}`" for c in [*keep, *found]]
-        grown = joined.selectExpr(*passed, f"CASE WHEN NOT ({_in_chain(found)}) THEN v.node END AS {name}")
+        frame = (
+            frame.alias("f")
+            .join(versions.alias("v"), condition, "left")
+            .selectExpr(*passed, f"CASE WHEN NOT ({_in_chain(found)}) THEN v.node END AS {name}")
+        )
         found.append(name)
-        frame = grown.selectExpr(*_quoted([*keep, *found]), *_next_key(name))
     chain = f"filter(array({', '.join(found)}), n -> n IS NOT NULL) AS chain"
-    return frame.selectExpr(*_quoted([c for c in keep if c != "slice"]), chain)
-
-
-def _quoted(names: Sequence[str]) -> list[str]:
-    return [f"`{n}`" for n in names]
-
-
-def _next_key(node: str) -> list[str]:
-    """Key of the node's parent, and whether there is one to look for.
-
-    The zero key, no boot id and both numbers 0, ends a chain.
-    """
-    up = f"{node}.parent_pid"
-    version = f"{node}.parent_pidversion"
-    return [
-        f"{up} IS NOT NULL AND NOT (boot = '' AND {up} = 0 AND {version} = 0) AS _go",
-        f"coalesce({up}, 0) AS _pid",
-        f"coalesce({version}, 0) AS _ver",
-    ]
+    return frame.selectExpr(*[f"`{c}`" for c in keep if c != "slice"], chain)
 
 
-def _valid_at_match(ttl_ns: int) -> str:
-    """Join condition: the version of (machine, boot, _pid, _ver) valid at the match.
+def _valid_at_match(child: str | None, ttl_ns: int) -> str:
+    """Join condition: the version, valid at the match, of the child's parent or of the start.
 
-    Rows whose chain has ended look for a boot that cannot exist, spread over many values, so
-    they neither match nor meet in one partition.
+    The zero key, no boot id and both numbers 0, ends a chain. Rows whose chain has ended look
+    for a boot that cannot exist, spread over many values, so they neither match nor meet in one
+    partition.
     """
-    idle = "concat('\\0', cast(pmod(xxhash64(f.match_ns, f.match_seq), 4096) AS string))"
+    boot, pid, version = "f.boot", "f.pid", "f.pidversion"
+    if child:
+        up, up_version = f"f.{child}.parent_pid", f"f.{child}.parent_pidversion"
+        idle = "concat('\\0', cast(pmod(xxhash64(f.match_ns, f.match_seq), 4096) AS string))"
+        ended = f"{up} IS NULL OR (f.boot = '' AND {up} = 0 AND {up_version} = 0)"
+        boot = f"CASE WHEN {ended} THEN {idle} ELSE f.boot END"
+        pid, version = f"coalesce({up}, 0)", f"coalesce({up_version}, 0)"
     fresh = f"AND v.since.node_ns >= f.match_ns - {ttl_ns}L" if ttl_ns else ""
     at = "struct(f.match_ns AS node_ns, f.match_seq AS node_seq)"
     return f"""
-        f.machine_id = v.machine_id AND CASE WHEN f._go THEN f.boot ELSE {idle} END = v.boot
-        AND f._pid = v.pid AND f._ver = v.pidversion AND f.slice = v.slice
-        AND v.since <= {at} AND (v.until IS NULL OR v.until > {at}) {fresh}"""
+        f.machine_id = v.machine_id AND {boot} = v.boot AND {pid} = v.pid AND {version} = v.pidversion
+        AND f.slice = v.slice AND v.since <= {at} AND (v.until IS NULL OR v.until > {at}) {fresh}"""
 
 
 def _in_chain(found: list[str]) -> str:
