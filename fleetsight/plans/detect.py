@@ -22,6 +22,7 @@ from fleetsight.operators.signals import (
 from fleetsight.schema import DEFAULT_MAX_EVENTS, DEFAULT_TREE_DEPTH, DEFAULT_TREE_TTL
 from fleetsight.session import ensure_checkpoint_dir
 from fleetsight.sources.catalogue import EnabledRules
+from fleetsight.sources.telemetry import SOURCE
 
 
 @dataclass
@@ -32,6 +33,14 @@ class Settings:
     tree_depth: int = DEFAULT_TREE_DEPTH
     tree_ttl: str | None = DEFAULT_TREE_TTL
     strict: bool = True
+    archive_dir: str | None = None
+
+
+def _with_archive(signals: DataFrame, settings: Settings) -> DataFrame:
+    """Adds where the spool file of a signal is kept, when files are archived."""
+    if not settings.archive_dir or SOURCE not in signals.columns:
+        return signals
+    return enrich(signals, {"spool_archive_path": archive_path(settings.archive_dir, F.col(SOURCE))})
 
 
 def simple_signals(events: DataFrame, rules: EnabledRules, settings: Settings) -> DataFrame:
@@ -47,7 +56,7 @@ def simple_signals(events: DataFrame, rules: EnabledRules, settings: Settings) -
         ["machine_id", "target_sha256", "_hash_lane"], order, "artifact_first_seen",
     ).drop("_hash_lane")
     first = F.when(F.col("artifact_first_seen") & (F.col("target_sha256") != ""), F.lit(True))
-    signals = enrich(signals, {"first_seen": first})
+    signals = _with_archive(enrich(signals, {"first_seen": first}), settings)
     if rules.wants_tree:
         return with_process_tree(signals, events, rules, settings)
     return as_signals(signals)
@@ -102,9 +111,10 @@ def correlation_signals(events: DataFrame, rules: EnabledRules, settings: Settin
         "event_time_ns": F.col("ts_ns"), "event_seq": F.col("seq"),
     })
     joined = fire.join(sample, ["machine_id", "event_time_ns", "event_seq"])
-    signals = signals_from_windows(
-        joined.select(*fires.drop("payload").columns, window_payload(events, rules.correlations, settings.strict).alias("payload")),
-        rules.correlations,
+    carried = [*fires.drop("payload").columns, *[c for c in events.columns if c == SOURCE]]
+    payload = window_payload(events, rules.correlations, settings.strict).alias("payload")
+    signals = _with_archive(
+        signals_from_windows(joined.select(*carried, payload), rules.correlations), settings
     )
     # Copies of one event join with each other; each fire is kept once.
     return signals.dropDuplicates(["rule_idx", "scope", "group_key", "ts_ns", "seq", "nth"])
@@ -133,7 +143,7 @@ def detect(
         parts.append(as_signals(correlation_signals(events, rules, settings)))
     if rules.baselines:
         alerts = first_seen.alerts(baseline_matches(events, rules, settings, seen))
-        parts.append(as_signals(signals_from_baselines(alerts, rules.baselines)))
+        parts.append(as_signals(_with_archive(signals_from_baselines(alerts, rules.baselines), settings)))
     if not parts:
         raise ValueError("no enabled rules")
     signals = parts[0]

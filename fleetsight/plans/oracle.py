@@ -549,7 +549,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["file_pending"] = _with(
         f"{_FILES}, done AS (SELECT concat('spool-', event_id // 80) AS path, max(ts + INTERVAL 2 DAY) AS processed_ts "
-        "FROM events WHERE event_id % 7 < 3 GROUP BY 1)",
+        "FROM events WHERE event_type = 'click' GROUP BY 1)",
         "SELECT f.path, f.mtime FROM files f LEFT JOIN done d ON d.path = f.path "
         "WHERE d.processed_ts IS NULL OR f.mtime > d.processed_ts",
     )

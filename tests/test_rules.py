@@ -201,6 +201,20 @@ def test_detect_has_all_families_and_reproducible_ids(spark):
     assert as_signals(found).columns == found.columns
 
 
+def test_signals_name_the_archived_file(spark, events_of):
+    from pyspark.sql import functions as F
+
+    pairs = [execution(seq=n, at=f"2024-01-01T00:00:0{n}Z", path="/p", sha="a") for n in range(3)]
+    events = events_of(pairs).withColumn("source_file", F.concat(F.lit("file:/spool/new/f"), "event_seq"))
+    window = {**rule("C"), "window": "5m", "threshold": 3}
+    families = {"rules": [rule("R", "event_seq = 1")], "correlations": [window],
+                "baselines": [{**rule("B"), "track": ["event.execution.target.executable.path"]}]}
+    rules = load_rules(catalogue_of(spark, families), events)
+    found = plan.detect(events, rules, plan.Settings(archive_dir="/kept/")).select("rule_id", "context").collect()
+    paths = {r.rule_id: json.loads(r.context)["spool_archive_path"] for r in found}
+    assert paths == {"R": "/kept/f1", "C": "/kept/f2", "B": "/kept/f0"}
+
+
 def test_first_seen_prunes_before_the_shuffle(spark):
     ev = workload._events(spark, SMALL)
     text = first_seen.baseline_matches(ev, [workload.HASHES], 0)._jdf.queryExecution().toString()
