@@ -43,23 +43,31 @@ def parse_lines(lines: DataFrame, name_style: str = "proto") -> DataFrame:
     """Records of a DataFrame with ``value`` (one JSON text) and ``source_file``.
 
     Adds ``_corrupt``, the text of a line that is not a JSON object. Blank lines are dropped and
-    fields outside the schema are ignored.
+    fields outside the schema are ignored. Other columns of ``lines`` are kept.
     """
+    parsed = _parsed(lines, name_style)
+    return parsed.where(F.col("_value") != "").drop("_value")
+
+
+def _parsed(lines: DataFrame, name_style: str) -> DataFrame:
+    """All lines, parsed, with the trimmed text as ``_value``; blank ones have no field set."""
     schema = _record_schema(name_style)
     read = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    text = lines.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).where(F.col("value") != "")
+    kept = [c for c in lines.columns if c != "value"]
+    text = lines.select(*kept, F.regexp_replace("value", r"^\s+|\s+$", "").alias("_value"))
     # Inlined from a one-element array: a plain field access would let the optimiser parse the
     # text anew for every column.
-    rows = text.select("value", SOURCE, F.inline(F.array(F.from_json("value", read, options))))
+    rows = text.select("_value", *kept, F.inline(F.array(F.from_json("_value", read, options))))
     wanted = telemetry_schema()
     columns = [
         F.col(f"`{given.name}`").cast(want.dataType).alias(want.name)
         for given, want in zip(schema.fields, wanted.fields)
     ]
-    not_object = ~F.startswith(F.col("value"), F.lit("{"))
-    corrupt = F.coalesce(F.col(CORRUPT), F.when(not_object, F.col("value")))
-    return rows.select(*columns, corrupt.alias(CORRUPT), SOURCE)
+    blank = F.col("_value") == ""
+    not_object = ~F.startswith(F.col("_value"), F.lit("{"))
+    corrupt = F.when(~blank, F.coalesce(F.col(CORRUPT), F.when(not_object, F.col("_value"))))
+    return rows.select(*columns, corrupt.alias(CORRUPT), *kept, "_value")
 
 
 def _with_records(df: DataFrame) -> DataFrame:
@@ -97,26 +105,25 @@ def read_json_lines(
     to a reader, so those are seen by neither output.
     """
     lines = _text_lines(spark, path, stability_wait, as_of)
-    records = parse_lines(lines, name_style)
-    has_event = kind_of(records) != UNKNOWN_KIND
-    quality = records.groupBy(SOURCE).agg(
-        F.count(CORRUPT).alias("bad_lines"),
-        F.count_if(has_event).alias("event_rows"),
-    )
-    sizes = lines.groupBy(SOURCE).agg(
+    parsed = _parsed(lines, name_style)
+    has_event = kind_of(parsed) != UNKNOWN_KIND
+    # One pass decides on the files, a second one reads the records of the good ones.
+    verdict = parsed.groupBy(SOURCE).agg(
         F.count(F.lit(1)).alias("line_rows"),
-        F.max(F.octet_length(F.trim("value"))).alias("longest"),
+        F.max(F.octet_length("_value")).alias("longest"),
         F.max("_size").alias("file_bytes"),
-    )
-    verdict = sizes.join(quality, SOURCE, "left").withColumn(
+        F.count(CORRUPT).alias("bad_lines"),
+        F.count_if(has_event).alias("event_rows"),
+    ).withColumn(
         "reason",
         F.when(F.col("file_bytes") > max_file_bytes, F.lit("file too large"))
         .when(F.col("line_rows") > max_lines, F.lit("too many lines"))
         .when(F.col("longest") > max_line_chars, F.lit("line too large"))
         .when(F.col("bad_lines") > 0, F.lit("bad line"))
-        .when(F.coalesce(F.col("event_rows"), F.lit(0)) == 0, F.lit("no records")),
+        .when(F.col("event_rows") == 0, F.lit("no records")),
     )
     rejected = verdict.where(F.col("reason").isNotNull()).select(SOURCE, "reason")
+    records = parse_lines(lines.drop("_size", "_mtime"), name_style)
     events = _with_records(records.join(rejected, SOURCE, "left_anti")).drop(CORRUPT)
     return events, rejected
 
