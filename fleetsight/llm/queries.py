@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetsight.llm import exact_dedup, quality_rules
 from fleetsight.llm.common import source
-from fleetsight.llm import quality_rules
 from fleetsight.llm.packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,14 +20,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(source(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(source(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_exact_dedup": op7_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
