@@ -48,8 +48,8 @@ def words_of(text: Column) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z alone."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-cases A-Z alone; for text that is all ASCII that is lower()."""
+    return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def bind(value: Column, body) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetsight.llm import exact_dedup, quality_rules
+from fleetsight.llm import exact_dedup, line_dedup, quality_rules
 from fleetsight.llm.common import source
 from fleetsight.llm.packing import pack_documents
 
@@ -20,6 +21,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(source(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(source(spark, sf_dir, "documents")).drop("row")
 
@@ -30,10 +36,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
