@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import exact_dedup, line_dedup, quality_rules
+from fleetsight.llm import exact_dedup, line_dedup, quality_rules, warc
 from fleetsight.llm.common import source
 from fleetsight.llm.packing import pack_documents
 
@@ -26,6 +26,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_pages(source(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(source(spark, sf_dir, "documents")).drop("row")
 
@@ -37,11 +42,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc_index_merge": op6_warc_index_merge,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_warc_index_merge": warc.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
