@@ -9,7 +9,7 @@
 3. Candidates. All pairs below a shingle would be quadratic in a group of near copies. So stars come
    first: the member whose prefix is shared the most is paired with the others, the pairs are
    verified, and components are formed. After that only pairs across components can matter for the
-   result; star rounds go on while they are many and still find links, and then all pairs across
+   result; star rounds go on while a good part of their pairs link, and then all pairs across
    components that are left are formed. No cap is set, and no link between components is missed.
 4. A pair is a candidate once, however many shingles it shares; the suffix filter compares the
    counts in ranges, and what remains is verified by the full sets.
@@ -41,9 +41,8 @@ PERCENT = 80
 SKETCH_BITS = 18
 #: Ranges of hashes whose counts the suffix filter compares.
 RANGES = 32
-#: Stars go on while there are more pairs across components than so many times the rows they come from.
-STAR_FACTOR = 2
-MOST_STARS = 6
+#: Stars go on while at least one in so many of their pairs links.
+STAR_YIELD = 10
 _ROWS = 256
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -188,6 +187,13 @@ def _may_link(percent: int, n: Column, place: Column, m: Column, other: Column)
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
+def _same_ranges(percent: int, x: Column, y: Column) -> Column:
+    """Suffix filter: sets that link differ in at most (100 - p) / (100 + p) of both sizes, summed over any ranges."""
+    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
+    total = F.aggregate(F.concat(x, y), F.lit(0), lambda s, d: s + d)
+    return (100 + percent) * apart <= (100 - percent) * total
+
+
 class _Join:
     """One run of the join, with the tables that its steps share."""
 
@@ -241,24 +247,27 @@ class _Join:
 
     def pairs(self, rows: DataFrame) -> DataFrame:
         """All pairs across components that share a prefix shingle and may link."""
-        left = rows.select("token", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("comp").alias("ac"))
-        right = rows.select(F.col("token").alias("t"), F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bp"), F.col("comp").alias("bc"))
-        fits = _may_link(self.percent, F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"))
+        sized = rows.join(self.vertices.select(F.col("sig").alias("s"), "ranges"), F.col("sig") == F.col("s"))
+        columns = {"token": "t", "sig": "b", "n": "bn", "place": "bp", "comp": "bc", "ranges": "rb"}
+        left = sized.select(
+            "token", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("comp").alias("ac"),
+            F.col("ranges").alias("ra"),
+        )
+        right = sized.select(*[F.col(c).alias(name) for c, name in columns.items()])
+        fits = _may_link(self.percent, F.col("an"), F.col("ap"), F.col("bn"), F.col("bp")) & _same_ranges(
+            self.percent, F.col("ra"), F.col("rb")
+        )
         return left.join(
             right, (F.col("token") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits
         ).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Suffix filter, then the full sets, once per pair."""
-        pairs = pairs.distinct()
         left = self.vertices.select(F.col("sig").alias("a"), F.col("ranges").alias("ra"))
         right = self.vertices.select(F.col("sig").alias("b"), F.col("ranges").alias("rb"))
-        apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        total = F.aggregate(F.concat("ra", "rb"), F.lit(0), lambda s, x: s + x)
-        # Sets that link differ in at most (100 - p) / (100 + p) of both sizes.
         pairs = stored(
             pairs.join(left, "a").join(right, "b")
-            .where((100 + self.percent) * apart <= (100 - self.percent) * total).select("a", "b")
+            .where(_same_ranges(self.percent, F.col("ra"), F.col("rb"))).select("a", "b")
         )
         wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
         wanted = wanted.join(self.vertices.select("sig", "row"), "sig")
@@ -284,24 +293,18 @@ class _Join:
         )
         return stored(named.join(several, F.col("token") == F.col("t")).drop("t"))
 
-    def across(self, rows: DataFrame) -> int:
-        """How many (shingle, pair) there are across components."""
-        by_comp = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        by_token = by_comp.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        return int(by_token.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0)
-
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Verified links (a, b), enough of them for the components, and the components."""
-        links, roots, rows = None, None, self.with_components(self.rows, None)
-        for number in range(MOST_STARS):
-            found = self.verified(self.stars(rows, number))
-            some = not found.isEmpty()
+        rows, links, number = self.with_components(self.rows, None), None, 0
+        while True:
+            pairs = stored(self.stars(rows, number).distinct())
+            found = self.verified(pairs)
             links = found if links is None else stored(links.unionByName(found))
             roots = components(links)
-            rows = self.with_components(self.rows, roots)
-            if not some or self.across(rows) <= STAR_FACTOR * rows.count():
+            rows, number = self.with_components(self.rows, roots), number + 1
+            if found.count() * STAR_YIELD < pairs.count() or rows.isEmpty():
                 break
-        links = stored(links.unionByName(self.verified(self.pairs(rows))))
+        links = stored(links.unionByName(self.verified(self.pairs(rows).distinct())))
         return links, components(links)
 
 
