@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import exact_dedup, jaccard_join, line_dedup, quality_rules, warc
+from fleetsight.llm import exact_dedup, jaccard_join, line_dedup, pii, quality_rules, warc
 from fleetsight.llm.common import source
 from fleetsight.llm.packing import pack_documents
 
@@ -40,6 +40,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(source(spark, sf_dir, "documents")).drop("row")
 
 
+def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.all_spans(source(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(pii.KINDS))
+
+    def count(number: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long").alias(f"n_{pii.KINDS[number]}")
+
+    counts = [count(number) for number in range(len(pii.KINDS))]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.span_digest(base), 256).alias("base_sha256"),
+        pii.span_digest(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(source(spark, sf_dir, "documents"))
 
@@ -50,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_warc_index_merge": op6_warc_index_merge,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_pii_disclosure": op8_pii_disclosure,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
