@@ -14,6 +14,7 @@ then placed while everything small is still to come.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.vocab import Memory, tokenizer, vocabulary_path
+from fleetsight.llm.vocab import Memory, byte_letters, tokenizer, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -74,19 +75,45 @@ class OpenBins:
         return number, self.capacity - free
 
 
+# The white space that always ends a run, and this vocabulary's pieces among plain letters.
+_RUNS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 @functools.cache
-def _chunk_ids(path: str) -> Memory:
+def _run_ids(path: str) -> Memory:
     """Ids of one run of non-space characters, as little-endian 32-bit numbers.
 
     This vocabulary drops white space, and white space ends every piece that it merges over, so a
-    text's ids are those of its runs in a row.
+    text's ids are those of its runs in a row. A run of plain letters, digits and signs is
+    remembered by its pieces, of which there are far fewer; the rest is encoded whole.
     """
     encode = tokenizer(path).encode
-    return Memory(lambda run: array("I", encode(run, add_special_tokens=False).ids).tobytes())
+
+    def whole(run: str) -> bytes:
+        return array("I", encode(run, add_special_tokens=False).ids).tobytes()
+
+    merge = tokenizer(path).model.tokenize
+
+    letters = byte_letters()
+
+    def one(piece: str) -> bytes:
+        lettered = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in merge(lettered)]).tobytes()
+
+    piece_ids = Memory(one)
+
+    def ids(run: str) -> bytes:
+        if "<|" in run or not _PLAIN.fullmatch(run):
+            return whole(run)
+        return b"".join(map(piece_ids.__getitem__, _PLAIN_PIECES.findall(run.lower())))
+
+    return Memory(ids)
 
 
 def _pieces(path: str, capacity: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids_of = _chunk_ids(path)
+    ids_of = _run_ids(path)
     end = array("I", [END_ID]).tobytes()
     step = 4 * capacity
     for batch in batches:
@@ -94,7 +121,7 @@ def _pieces(path: str, capacity: int, batches: Iterable[pa.RecordBatch]) -> Iter
             part = batch.slice(at, _ROWS)
             rows = ([], [], [], [], [])
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = b"".join(map(ids_of.__getitem__, (text or "").split())) + end
+                ids = b"".join(map(ids_of.__getitem__, _RUNS.findall(text or ""))) + end
                 for piece, start in enumerate(range(0, len(ids), step)):
                     cut = ids[start:start + step]
                     for column, value in zip(rows, (doc_id, piece, start // 4, len(cut) // 4, zlib.crc32(cut))):

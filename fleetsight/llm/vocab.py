@@ -45,3 +45,13 @@ class Memory(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte value to the letter that stands for it in byte-level vocabularies.
+
+    Printable Latin-1 stands for itself; the other bytes take the letters from 256 on, in order.
+    """
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
