@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import exact_dedup, jaccard_join, line_dedup, pii, quality_rules, warc
-from fleetsight.llm.common import source
+from fleetsight.llm import exact_dedup, jaccard_join, line_dedup, pii, quality_ranking, quality_rules, toxicity, warc
+from fleetsight.llm.common import held_out, source
 from fleetsight.llm.packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 4, 2)
+    labels = source(spark, sf_dir, "labels").where(~out).select("doc_id", F.col("quality").alias("label"))
+    scored = quality_ranking.rank_quality(source(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 3, 1)
+    labels = source(spark, sf_dir, "labels").where(~out).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score_toxicity(source(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_components(source(spark, sf_dir, "documents"), words=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -60,6 +74,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_ranking": op2_quality_ranking,
+    "op3_toxicity": op3_toxicity,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc_index_merge": op6_warc_index_merge,
