@@ -26,7 +26,7 @@ from fleetsight.llm.common import stored
 from fleetsight.llm.vocab import Memory
 
 #: Labelled documents that the fit sees at most. A parameter, and the bound of what is broadcast.
-SAMPLE = 8_000
+SAMPLE = 16_000
 #: Features of the model at most, and documents that must have one.
 FEATURES = 4_000
 LEAST_DOCS = 4
@@ -135,7 +135,7 @@ class _Rows:
 
 def fit_weights(
     rows: Sequence[tuple[list[int], list[int]]], labels: np.ndarray, swaps: Sequence[tuple[list[int], list[int]]], width: int,
-    penalty: float = PENALTY, steps: int = 400,
+    penalty: float = PENALTY, steps: int = 600,
 ) -> tuple[np.ndarray, float]:
     """Minimises logistic loss + ridge + penalty * mean squared change under swaps, by Adam steps.
 
