@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import exact_dedup, jaccard_join, line_dedup, pii, quality_ranking, quality_rules, toxicity, warc
+from fleetsight.llm import exact_dedup, jaccard_join, line_dedup, pii, quality_ranking, quality_rules, toxicity, tree_bpe, warc
 from fleetsight.llm.common import held_out, source
 from fleetsight.llm.packing import pack_documents
 
@@ -68,6 +68,10 @@ def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.encode_documents(source(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(source(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op6_warc_index_merge": op6_warc_index_merge,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pii_disclosure": op8_pii_disclosure,
+    "op9_tree_bpe": op9_tree_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
