@@ -141,7 +141,8 @@ def dedup_lines(
     by_line = numbered.select(
         "row", F.coalesce("doc_id", lowest).alias("doc_id"), F.explode(_keyed(_lines(F.col("text")), min_chars)).alias("line")
     ).select("row", "doc_id", "line.*")
-    cuts = [c for c in numbered.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)]
+    shares = [k / batches for k in range(1, batches)]
+    cuts = numbered.approxQuantile("doc_id", shares, 0.01) if shares else []
     # Larger ids first: what is settled by them needs no more of the smaller ones.
     batch = sum((F.col("doc_id") <= c).cast("int") for c in cuts) if cuts else F.lit(0)
     path = shared_folder(spark)

@@ -46,7 +46,7 @@ METHOD_RULES = (
     Rule("word_length", "mean_word_chars", low=2, high=15),
     Rule("symbols", "symbols_per_word", high=0.3),
     Rule("stop_words", "n_stop_words", low=1),
-    Rule("duplicate_lines", "dup_line_share", high=0.3),
+    Rule("duplicate_lines", "dup_line_share", high=0.5),
     Rule("bullet_lines", "bullet_line_share", high=0.9),
     Rule("ellipsis_lines", "ellipsis_line_share", high=0.3),
 )
@@ -212,7 +212,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words
     OR n_symbols / greatest(n_words, 1) > 0.3 OR n_stop_words < 1
-    OR n_dup_lines / greatest(n_lines, 1) > 0.3 OR bullets / greatest(n_lines, 1) > 0.9
+    OR n_dup_lines / greatest(n_lines, 1) > 0.5 OR bullets / greatest(n_lines, 1) > 0.9
     OR ellipses / greatest(n_lines, 1) > 0.3) AS kept
 FROM measured
 """
