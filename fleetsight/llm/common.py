@@ -36,6 +36,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table, with a broadcast hint if it has at most ``rows`` rows; beyond, joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def trimmed(text: Column) -> Column:
     """Without the white space at both ends."""
     return F.call_function("btrim", text, F.lit(SPACES))

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,33 +29,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.common import LOWER, UPPER, stored
+from fleetsight.llm.common import broadcast_within, stored
 from fleetsight.llm.components import components
-from fleetsight.llm.vocab import Memory
 
 WORDS = 5
 #: Share of the union that two sets must have in common, in hundredths.
 PERCENT = 80
 #: log2 of the cells in the frequency sketch: its size, and that of its broadcast (2 MB), is fixed.
 SKETCH_BITS = 18
-#: Ranges of hashes whose counts the suffix filter compares.
-RANGES = 32
+#: Ranges of hashes whose counts the suffix filter compares, a power of two, and the largest count told apart.
+RANGES = 128
+_MOST = 127
 #: Stars go on while at least one in so many of their pairs links.
 STAR_YIELD = 10
+#: Rows up to which a table of tokens, or of sets, is broadcast (about 16 MB each); larger ones are shuffled.
+BROADCAST_TOKENS = 1_000_000
+BROADCAST_SETS = 200_000
 _ROWS = 256
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_FOLD = str.maketrans(UPPER, LOWER)
 # Multipliers of the hash, from the golden ratio and its finalizer.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-@functools.cache
-def _word_hashes() -> Memory:
-    return Memory(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
@@ -65,14 +60,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles; fewer words than a shingle has are one shingle."""
-    found = _WORD.findall((text or "").translate(_FOLD))
+    # Bytes know ASCII alone: lower() folds A-Z, and split() parts at the six white space characters.
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_word_hashes().__getitem__, found), np.uint64, len(found))
+    hashes = _mixed(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
     width = min(words, len(found))
     total = np.full(len(found) - width + 1, width, np.uint64)
     for k in range(width):
-        total = total * _STEP + _mixed(hashes[k:len(found) - width + 1 + k])
+        total = total * _STEP + hashes[k:len(found) - width + 1 + k]
     return np.unique(_mixed(total))
 
 
@@ -80,6 +76,11 @@ def _identity(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def _counts(shingles: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """Shingles in each range of hashes. Counts stop at the largest byte, which can only make two look more alike."""
+    return np.minimum(np.bincount((shingles >> shift).astype(np.int64), minlength=RANGES), _MOST).astype(np.int8)
+
+
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows of the batches, a few texts at a time."""
     for batch in batches:
@@ -88,14 +89,14 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
             yield list(zip(*[c.to_pylist() for c in part.columns]))
 
 
-_PROFILE = "row long, doc_id long, n int, sig binary, ranges array<int>, cell int, seen long"
+_PROFILE = "row long, doc_id long, n int, sig binary, ranges array<tinyint>, cell int, seen long"
 
 
 def _profiles(words: int, bits: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end a row per cell of the task's sketch."""
     schema = pa.schema([
         ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()),
-        ("ranges", pa.list_(pa.int32())), ("cell", pa.int32()), ("seen", pa.int64()),
+        ("ranges", pa.list_(pa.int8())), ("cell", pa.int32()), ("seen", pa.int64()),
     ])
     seen = np.zeros(1 << bits, np.int64)
     shift = np.uint64(64 - RANGES.bit_length() + 1)
@@ -107,7 +108,7 @@ def _profiles(words: int, bits: int, batches: Iterable[pa.RecordBatch]) -> Itera
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
             pa.array([s.size for s in sets], pa.int32()),
             pa.array([_identity(s) if s.size else None for s in sets], pa.binary()),
-            pa.array([np.bincount((s >> shift).astype(np.int64), minlength=RANGES).tolist() if s.size else None for s in sets], pa.list_(pa.int32())),
+            pa.array([_counts(s, shift) if s.size else None for s in sets], pa.list_(pa.int8())),
             pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()),
         ], schema=schema)
     cells = np.flatnonzero(seen)
@@ -116,7 +117,7 @@ def _profiles(words: int, bits: int, batches: Iterable[pa.RecordBatch]) -> Itera
         k = len(some)
         yield pa.RecordBatch.from_arrays([
             pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
-            pa.nulls(k, pa.list_(pa.int32())), pa.array(some, pa.int32()), pa.array(seen[some], pa.int64()),
+            pa.nulls(k, pa.list_(pa.int8())), pa.array(some, pa.int32()), pa.array(seen[some], pa.int64()),
         ], schema=schema)
 
 
@@ -187,11 +188,10 @@ def _may_link(percent: int, n: Column, place: Column, m: Column, other: Column)
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _same_ranges(percent: int, x: Column, y: Column) -> Column:
+def _same_ranges(percent: int, x: Column, y: Column, n: Column, m: Column) -> Column:
     """Suffix filter: sets that link differ in at most (100 - p) / (100 + p) of both sizes, summed over any ranges."""
     apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
-    total = F.aggregate(F.concat(x, y), F.lit(0), lambda s, d: s + d)
-    return (100 + percent) * apart <= (100 - percent) * total
+    return (100 + percent) * apart <= (100 - percent) * (n + m)
 
 
 class _Join:
@@ -209,8 +209,8 @@ class _Join:
         self.vertices = stored(
             self.documents.where("n > 0").groupBy("sig").agg(
                 F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best"),
-                F.first("ranges").alias("ranges"),
-            ).select("sig", F.col("best.doc_id").alias("doc_id"), F.col("best.row").alias("row"), "ranges")
+                F.first("ranges").alias("ranges"), F.first("n").alias("n"),
+            ).select("sig", F.col("best.doc_id").alias("doc_id"), F.col("best.row").alias("row"), "ranges", "n")
         )
         sketch = np.zeros(1 << sketch_bits, np.int64)
         cells = both.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen"))
@@ -220,11 +220,14 @@ class _Join:
         prefixes = stored(
             self.texts.select("text").mapInArrow(functools.partial(_prefixes, words, percent, shared), _PREFIX)
         )
-        common = (
-            prefixes.groupBy(F.col("token").alias("t")).agg(F.min("sig").alias("low"), F.max("sig").alias("high"))
+        # Different sets of one shingle, told by 64 bits: numbers travel instead of identities.
+        common = stored(
+            prefixes.groupBy(F.col("token").alias("t"))
+            .agg(F.min(F.xxhash64("sig")).alias("low"), F.max(F.xxhash64("sig")).alias("high"))
             .where("low <> high").select("t")
         )
-        rows = stored(prefixes.join(common, F.col("token") == F.col("t")).drop("t").dropDuplicates(["token", "sig"]))
+        held = prefixes.join(broadcast_within(common, BROADCAST_TOKENS), F.col("token") == F.col("t")).drop("t")
+        rows = stored(held.dropDuplicates(["token", "sig"]))
         degrees = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).withColumnRenamed("sig", "s")
         # A set whose whole prefix is shared is likely in the middle of its group.
         self.rows = stored(
@@ -255,7 +258,7 @@ class _Join:
         )
         right = sized.select(*[F.col(c).alias(name) for c, name in columns.items()])
         fits = _may_link(self.percent, F.col("an"), F.col("ap"), F.col("bn"), F.col("bp")) & _same_ranges(
-            self.percent, F.col("ra"), F.col("rb")
+            self.percent, F.col("ra"), F.col("rb"), F.col("an"), F.col("bn")
         )
         return left.join(
             right, (F.col("token") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits
@@ -263,16 +266,16 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Suffix filter, then the full sets, once per pair."""
-        left = self.vertices.select(F.col("sig").alias("a"), F.col("ranges").alias("ra"))
-        right = self.vertices.select(F.col("sig").alias("b"), F.col("ranges").alias("rb"))
+        left = self.vertices.select(F.col("sig").alias("a"), F.col("ranges").alias("ra"), F.col("n").alias("an"))
+        right = self.vertices.select(F.col("sig").alias("b"), F.col("ranges").alias("rb"), F.col("n").alias("bn"))
         pairs = stored(
             pairs.join(left, "a").join(right, "b")
-            .where(_same_ranges(self.percent, F.col("ra"), F.col("rb"))).select("a", "b")
+            .where(_same_ranges(self.percent, F.col("ra"), F.col("rb"), F.col("an"), F.col("bn"))).select("a", "b")
         )
         wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-        wanted = wanted.join(self.vertices.select("sig", "row"), "sig")
+        wanted = stored(wanted.join(self.vertices.select("sig", "row"), "sig"))
         sets = stored(
-            self.texts.select("row", "text").join(wanted, "row").select("sig", "text")
+            self.texts.select("row", "text").join(broadcast_within(wanted, BROADCAST_SETS), "row").select("sig", "text")
             .mapInArrow(functools.partial(_sets, self.words), "sig binary, shingles binary")
         )
         both = (
