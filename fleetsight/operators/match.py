@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -12,6 +13,22 @@ BROADCAST_RULES = 5_000
 PREDICATES_PER_ARRAY = 200
 
 
+@contextmanager
+def errors_as_null(spark: SparkSession) -> Iterator[None]:
+    """Predicates analysed inside give NULL where they would raise: bad casts, indexes, divisions.
+
+    Spark fixes this per expression at analysis. The setting is put back at once, so it holds for
+    nothing else.
+    """
+    name = "spark.sql.ansi.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def holds(expr: str) -> Column:
     """A predicate that is false where it is NULL, so it cannot drop or fail other rules."""
     return F.coalesce(F.expr(expr), F.lit(False))
@@ -21,7 +38,8 @@ def match(df: DataFrame, rules: Sequence[Row]) -> DataFrame:
     """One output row per (event, rule) hit, with ``rule_idx`` in catalogue order.
 
     All predicates are evaluated in a single projection over a single scan; an event that meets
-    no rule is dropped by the filter Catalyst infers below the explode.
+    no rule is dropped by the filter Catalyst infers below the explode. A predicate that fails on an
+    event counts as not met there.
     """
     if not rules:
         return df.withColumn("rule_idx", F.lit(0)).where(F.lit(False))
@@ -32,7 +50,8 @@ def match(df: DataFrame, rules: Sequence[Row]) -> DataFrame:
             F.array(*[F.when(holds(r["expr"]), F.lit(start + i)) for i, r in enumerate(block)])
         )
     hits = F.array_compact(F.concat(*blocks) if len(blocks) > 1 else blocks[0])
-    return df.withColumn("rule_idx", F.explode(hits))
+    with errors_as_null(df.sparkSession):
+        return df.withColumn("rule_idx", F.explode(hits))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Row]) -> DataFrame:

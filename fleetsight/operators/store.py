@@ -102,8 +102,8 @@ def ingest_flags(batch: DataFrame, store: DataFrame, order: Sequence[str]) -> Da
     known = store.select("signal_id").distinct().withColumn("_known", F.lit(True))
     verdict = first.join(known, "signal_id", "left")
     return (
-        batch.join(verdict, "signal_id")
-        .withColumn("duplicate", F.coalesce(F.col("_known"), F.lit(False)) | (rank > F.col("_first")))
+        batch.join(verdict, "signal_id", "left")  # an arrival without an id is no duplicate
+        .withColumn("duplicate", F.coalesce(F.col("_known"), F.lit(False)) | F.coalesce(rank > F.col("_first"), F.lit(False)))
         .drop("_first", "_known")
     )
 
@@ -114,19 +114,28 @@ def append_signals(
     order: Sequence[str],
     received_at: Column | None = None,
     ids_fix_time: bool = False,
+    rejected_path: str | None = None,
 ) -> None:
     """Validated, first-wins append to a Parquet store, partitioned by signal date.
 
+    Signals that break an ingest rule are appended, with their ``reasons``, to a second store at
+    ``rejected_path`` (by default ``path`` with ``_rejected``); none is lost.
+
     ``ids_fix_time`` says that equal ids have equal times, as ids made by this package do; then
-    only the store's partitions for the batch's dates are read to find known ids.
+    only the store's partitions for the dates the batch has are read to find known ids.
     """
     spark = batch.sparkSession
-    accepted, _ = split_valid(batch, signal_reasons(batch))
+    accepted, rejected = split_valid(batch, signal_reasons(batch))
+    rejected.write.mode("append").parquet(rejected_path or f"{path.rstrip('/')}_rejected")
     dated = accepted.withColumn("ts_date", F.to_date("ts"))
     fresh = new_signals(dated, None, order)
     if _has_store(spark, path):
         keys = ["signal_id", "ts_date"] if ids_fix_time else ["signal_id"]
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+        known = spark.read.parquet(path).select(*keys)
+        if ids_fix_time:
+            # A semi join on the partition column prunes; the anti join alone would read the whole store.
+            known = known.join(dated.select("ts_date").distinct(), "ts_date", "left_semi")
+        fresh = fresh.join(known, keys, "left_anti")
     received = F.current_timestamp() if received_at is None else received_at
     (
         fresh.withColumn("received_at", received)

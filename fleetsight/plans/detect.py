@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetsight.operators import first_seen, lineage
 from fleetsight.operators.correlate import correlation_events, fold_windows, window_specs
-from fleetsight.operators.match import holds, match, per_rule
+from fleetsight.operators.match import errors_as_null, holds, match, per_rule
 from fleetsight.operators.signals import (
     SIGNAL_COLUMNS,
     as_signals,
@@ -106,7 +106,8 @@ def correlation_signals(events: DataFrame, rules: EnabledRules, settings: Settin
     passes = F.lit(False)
     for rule in rules.correlations:
         passes = passes | holds(rule["expr"])
-    sample = events.where(passes & F.col("event_time_ns").isNotNull())
+    with errors_as_null(events.sparkSession):
+        sample = events.where(passes & F.col("event_time_ns").isNotNull())
     fire = fires.withColumnRenamed("payload", "machine_id").withColumns({
         "event_time_ns": F.col("ts_ns"), "event_seq": F.col("seq"),
     })

@@ -40,43 +40,43 @@ _TCC = (
 )
 _ADDED = "kind = 'launch_item' AND launch_action = 'ACTION_ADD' AND launch_legacy"
 RULES = [
-    ("SM-001", "Blocked browser cookie access attempt", "critical", "T1539,credential-access",
+    ("SM-001", "Cookie store read refused", "critical", "T1539,credential-access",
      "kind = 'file_access' AND policy_name IN ('ChromeCookies', 'CometCookies') AND decision = 'POLICY_DECISION_DENIED'"),
-    ("SM-002", "SSH private keys read by non-ssh process", "critical", "T1552.004,credential-access",
+    ("SM-002", "SSH key file opened by a foreign program", "critical", "T1552.004,credential-access",
      "kind = 'file_access' AND policy_name IN ('SSHKeys', 'SSHPrivateKeys') AND actor_path NOT LIKE '/usr/bin/ssh%' "
      "AND actor_signing_id <> 'com.apple.ssh'"),
-    ("SM-003", "Non-user TCC Full Disk Access grant", "critical", "T1548.006,defense-evasion,privilege-escalation",
+    ("SM-003", "Full disk access granted without the user", "critical", "T1548.006,defense-evasion,privilege-escalation",
      f"{_TCC} AND tcc_service = 'kTCCServiceSystemPolicyAllFiles'"),
-    ("SM-004", "Non-user TCC grant for camera/mic/screen", "high", "T1548.006,collection,defense-evasion",
+    ("SM-004", "Capture permission granted without the user", "high", "T1548.006,collection,defense-evasion",
      f"{_TCC} AND tcc_service IN ('kTCCServiceCamera', 'kTCCServiceMicrophone', 'kTCCServiceScreenCapture', "
      "'kTCCServiceListenEvent')"),
-    ("SM-005", "XProtect malware detection", "critical", "T1204.002,malware", "kind = 'xprotect' AND detected"),
-    ("SM-006", "User LaunchAgent with user-writable binary", "high", "T1543.001,persistence",
+    ("SM-005", "Built-in scanner found malware", "critical", "T1204.002,malware", "kind = 'xprotect' AND detected"),
+    ("SM-006", "Agent added that starts a program in a home folder", "high", "T1543.001,persistence",
      f"{_ADDED} AND launch_item_type = 'ITEM_TYPE_AGENT' AND launch_item_path LIKE '/Users/%' "
      "AND launch_executable_path LIKE '/Users/%'"),
-    ("SM-007", "LaunchDaemon executing from user or volume path", "high", "T1543.004,persistence",
+    ("SM-007", "Daemon added that starts a program off the system disk", "high", "T1543.004,persistence",
      f"{_ADDED} AND launch_item_type = 'ITEM_TYPE_DAEMON' AND (launch_executable_path LIKE '/Users/%' "
      "OR launch_executable_path LIKE '/Volumes/%')"),
-    ("SM-008", "Unknown-developer binary from user download paths", "high", "T1204.002,execution",
+    ("SM-008", "Unsigned program started where downloads land", "high", "T1204.002,execution",
      f"{_UNSIGNED} AND regexp_matches(target_path, '^/Users/.*/(Downloads|Desktop|Documents)/.*')"),
-    ("SM-009", "Chrome spawning a scripting interpreter", "high", "T1059,T1204,initial-access",
+    ("SM-009", "Browser started an interpreter", "high", "T1059,T1204,initial-access",
      "kind = 'execution' AND target_path IN ('/usr/bin/osascript', '/bin/bash', '/bin/sh', '/usr/bin/python3', "
      "'/usr/bin/python', '/usr/bin/perl', '/usr/bin/ruby') AND (contains(actor_path, 'Google Chrome') "
      "OR contains(actor_path, 'Chromium'))"),
-    ("SM-010", "Third-party process invoking launchctl", "high", "persistence",
+    ("SM-010", "Service control tool started by a third party", "high", "persistence",
      "kind = 'execution' AND target_path IN ('/bin/launchctl', '/usr/bin/launchctl') "
      "AND NOT regexp_matches(actor_path, '^(/System/Library/|/usr/libexec/|/usr/sbin/|/opt/homebrew/)') "
      "AND NOT regexp_matches(actor_path, '/(Terminal|iTerm|Visual Studio Code)\\.app/')"),
-    ("SM-011", "Local password verification via dscl authonly", "critical", "T1056.002,credential-access",
+    ("SM-011", "Password checked against the local directory", "critical", "T1056.002,credential-access",
      "kind = 'execution' AND target_path = '/usr/bin/dscl' AND list_contains(args, '-authonly') "
      "AND NOT regexp_matches(actor_path, '^(/System/Library/|/usr/sbin/)')"),
-    ("SM-012", "Suspicious AppleScript password dialog", "high", "T1056.002,credential-access,social-engineering",
+    ("SM-012", "Script dialog asks for hidden input", "high", "T1056.002,credential-access,social-engineering",
      "kind = 'execution' AND target_path = '/usr/bin/osascript' "
      "AND len(list_filter(args, lambda a: contains(a, 'display dialog'))) > 0 "
      "AND len(list_filter(args, lambda a: contains(a, 'hidden answer'))) > 0 AND actor_path NOT LIKE '/System/Library/%'"),
-    ("SM-013", "Unsigned app executed from mounted volume", "high", "T1204.002,initial-access",
+    ("SM-013", "Unsigned program started from a mounted image", "high", "T1204.002,initial-access",
      f"{_UNSIGNED} AND target_path LIKE '/Volumes/%'"),
-    ("SM-014", "Non-interactive process invoking curl/wget", "high", "T1105,command-and-control",
+    ("SM-014", "Download tool started without a shell", "high", "T1105,command-and-control",
      "kind = 'execution' AND target_path IN ('/usr/bin/curl', '/usr/bin/wget') "
      "AND NOT regexp_matches(actor_path, '^(/bin/bash|/bin/zsh|/bin/sh|/opt/homebrew/)') "
      "AND NOT contains(actor_path, '/Homebrew/')"),
@@ -341,6 +341,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT r.rule_id, r.severity, count(h.rule_id) AS matches FROM (VALUES {all_rules}) r(rule_id, severity) "
         "LEFT JOIN hits h ON h.rule_id = r.rule_id GROUP BY 1, 2",
     )
+    sql["rule_isolation"] = _with(BASE, "SELECT event_id, 'GOOD' AS rule_id FROM n WHERE kind = 'file_access'")
     sql["artifact_first_seen"] = _with(
         f"{BASE}, {HITS}",
         "SELECT signal_id, rule_id, target_sha256, CASE WHEN target_sha256 <> '' AND row_number() OVER "

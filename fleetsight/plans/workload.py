@@ -333,6 +333,19 @@ def rule_match_counts(spark, sf_dir):
     )
 
 
+@query
+def rule_isolation(spark, sf_dir):
+    """Predicates that fail on every event, beside one that holds on some."""
+    ev = _events(spark, sf_dir)
+    predicates = {
+        "CAST": "cast(concat('x', kind) AS int) = 1", "INDEX": "decoded_args[500] = 'x'",
+        "DIVIDE": "1 / (event_seq - event_seq) > 0", "GOOD": "kind = 'file_access'",
+    }
+    rules = [Row(id=name, expr=expr) for name, expr in predicates.items()]
+    names = F.array(*[F.lit(r["id"]) for r in rules])
+    return match(ev, rules).select(F.col("event_seq").alias("event_id"), names[F.col("rule_idx")].alias("rule_id"))
+
+
 @query
 def artifact_first_seen(spark, sf_dir):
     ev = _events(spark, sf_dir)

@@ -22,11 +22,18 @@ def use_keyed_state(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is named."""
+    """The cluster's shared checkpoint folder. Only a session in one process may do without one.
+
+    On a cluster a folder of the driver's machine would be of no use to executors, so it is an error
+    there to name none.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not shared and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     chosen = shared or tempfile.mkdtemp(prefix="fleetsight-checkpoint-")
     spark.sparkContext.setCheckpointDir(chosen)
     return chosen

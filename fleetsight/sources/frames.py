@@ -44,9 +44,9 @@ def _inflate(data: bytes, limit: int) -> bytes:
             raise BadSpool(f"gzip: {err}") from err
         room -= len(out[-1])
         if room <= 0:
-            raise BadSpool("decompressed size limit exceeded")
+            raise BadSpool("content grows beyond the allowed size")
         if not unpacker.eof:
-            raise BadSpool("gzip: truncated")
+            raise BadSpool("gzip layer ends early")
         rest = unpacker.unused_data
     return b"".join(out)
 
@@ -62,7 +62,7 @@ def _unzstd(data: bytes, limit: int) -> bytes:
     except zstandard.ZstdError as err:
         raise BadSpool(f"zstd: {err}") from err
     if len(plain) >= limit:
-        raise BadSpool("decompressed size limit exceeded")
+        raise BadSpool("content grows beyond the allowed size")
     return plain
 
 
@@ -70,9 +70,9 @@ def unpack(data: bytes, max_unpacked: int = MAX_UNPACKED, max_ratio: int = MAX_R
     """Content under the compression layers."""
     for depth in range(MAX_DEPTH + 2):
         if depth > MAX_DEPTH:
-            raise BadSpool("maximum decompression depth exceeded")
+            raise BadSpool("too many compression layers")
         if not data:
-            raise BadSpool("no data")
+            raise BadSpool("nothing to read")
         magic = struct.unpack("<I", data[:4])[0] if len(data) >= 4 else 0
         if magic == ZSTD_MAGIC:
             plain = _unzstd(data, max_unpacked)
@@ -81,16 +81,16 @@ def unpack(data: bytes, max_unpacked: int = MAX_UNPACKED, max_ratio: int = MAX_R
         else:
             return data
         if len(plain) // len(data) > max_ratio:
-            raise BadSpool("decompression ratio too high")
+            raise BadSpool("content grows by too large a factor")
         data = plain
-    raise BadSpool("maximum decompression depth exceeded")
+    raise BadSpool("too many compression layers")
 
 
 def _uvarint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
         if at >= len(data) or shift > 63:
-            raise BadSpool("bad frame length")
+            raise BadSpool("unreadable frame size")
         byte = data[at]
         at += 1
         value |= (byte & 0x7F) << shift

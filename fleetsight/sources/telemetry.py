@@ -10,11 +10,6 @@ from fleetsight.functions.durations import duration_ns
 from fleetsight.operators.normalize import kind_of
 from fleetsight.schema import KINDS, UNKNOWN_KIND, telemetry_schema
 
-# Limits of one spool file.
-MAX_FILE_BYTES = 100 * 1024 * 1024
-MAX_LINES = 100_000
-MAX_LINE_CHARS = 2 * 1024 * 1024
-
 CORRUPT = "_corrupt"
 SOURCE = "source_file"
 
@@ -94,13 +89,13 @@ def read_json_lines(
     name_style: str = "proto",
     stability_wait: str | None = None,
     as_of: Column | None = None,
-    max_lines: int = MAX_LINES,
-    max_line_chars: int = MAX_LINE_CHARS,
-    max_file_bytes: int = MAX_FILE_BYTES,
+    max_lines: int | None = None,
+    max_line_chars: int | None = None,
+    max_file_bytes: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(events, rejected files) of JSON-lines spool files.
 
-    One bad line or one broken limit rejects the whole file, as does a file without a single
+    Limits hold only where they are given. One bad line or one broken limit rejects the whole file, as does a file without a single
     telemetry record. ``rejected`` has ``source_file`` and ``reason``. Spark hands no empty file
     to a reader, so those are seen by neither output.
     """
@@ -116,9 +111,9 @@ def read_json_lines(
         F.count_if(has_event).alias("event_rows"),
     ).withColumn(
         "reason",
-        F.when(F.col("file_bytes") > max_file_bytes, F.lit("file too large"))
-        .when(F.col("line_rows") > max_lines, F.lit("too many lines"))
-        .when(F.col("longest") > max_line_chars, F.lit("line too large"))
+        F.when(F.col("file_bytes") > F.lit(max_file_bytes), F.lit("file too large"))
+        .when(F.col("line_rows") > F.lit(max_lines), F.lit("too many lines"))
+        .when(F.col("longest") > F.lit(max_line_chars), F.lit("line too large"))
         .when(F.col("bad_lines") > 0, F.lit("bad line"))
         .when(F.col("event_rows") == 0, F.lit("no records")),
     )

@@ -103,8 +103,9 @@ def test_predicate_problem(one_event):
 
 def test_disabled_rules_and_failing_predicates_do_not_stop_others(spark, events_of):
     families = {"rules": [
-        rule("OFF", enabled=False), rule("BAD", "try_cast(target_path AS int) = 1"), rule("ALL", "true"),
-        rule("EXEC"),
+        rule("OFF", enabled=False), rule("CAST", "cast(target_path AS int) = 1"),
+        rule("INDEX", "decoded_args[500] = 'x'"), rule("DIVIDE", "1 / (event_seq - event_seq) > 0"),
+        rule("ALL", "true"), rule("EXEC"),
     ]}
     events = events_of([execution(seq=1, path="/x"), file_access(seq=2)])
     rules = load_rules(catalogue_of(spark, families), events).rules
