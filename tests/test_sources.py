@@ -104,7 +104,7 @@ def test_frames(spark):
     assert {r[0].rsplit("/", 1)[1]: (r[1], r[2]) for r in rows} == {"plain": (3, 2), "gz": (3, 2), "zst": (3, 2)}
     reasons = names(bad)
     assert set(reasons) == {"three", "bomb", "corrupt", "cut", "zero", "junk"}
-    assert "depth" in reasons["three"] and "ratio" in reasons["bomb"] and "checksum" in reasons["corrupt"]
+    assert "layers" in reasons["three"] and "factor" in reasons["bomb"] and "checksum" in reasons["corrupt"]
     first = good.where(F.col("source_file").endswith("plain")).orderBy("frame_no").first()
     assert (first.frame_no, bytes(first.payload)) == (0, b"one")
 
