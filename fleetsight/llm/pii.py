@@ -169,7 +169,9 @@ def disclosing_terms(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("w")
     )
     wanted = together.select("term").distinct()
-    counts = words.join(wanted, F.col("w") == F.col("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # Counted before the join, so that this has a row per term and not one per occurrence.
+    by_word = words.groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = by_word.join(wanted, F.col("w") == F.col("term")).select("term", "n_t")
     total = F.lit(docs.count())
     n_t = F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te"))
     n_e = F.col("n_e")
