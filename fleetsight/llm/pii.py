@@ -4,24 +4,23 @@ Base kinds are patterns of fixed form: mail and network addresses, card and phon
 protected entities. Beside them, terms that co-occur with an entity can reveal it once it is gone:
 with counts over the corpus, the pointwise mutual information of a term and an entity,
 
-    PMI(t; e) = log2( n(t, e) * N / (n(t) * n(e)) ),
+    PMI(t; e) = log2( p(e | t) / p(e) ),  p(e | t) = (n(t, e) + PRIOR * n(e) / N) / (n(t) + PRIOR),
 
 is the part of the entity's information IC(e) = log2(N / n(e)) that the term discloses. Terms that
-disclose at least a threshold share of it in enough different contexts are added as spans of kind
-``term`` wherever they stand in such a context of that entity. A context is the words around an
-occurrence; contexts are counted once however often they are copied, so copies prove nothing.
-
-Passes. The first finds base spans and contexts; contexts with an entity that occurs in too few
-different ones cannot disclose it and go no further. Counts of terms are made over all documents for
-the candidate terms alone. Everything is aggregated before a shuffle or split by Spark's joins; the
-driver sees no data.
+disclose at least a threshold share of it are added as spans of kind ``term`` wherever they stand in
+a document that holds the entity. All counts are of whole documents; equal texts count once, so copies
+prove nothing. A term must meet the entity in ``SUPPORT`` of them.
+
+Passes. The first finds base spans and, where there are any, the terms of the document. The second
+counts the documents of every term. A term is paired with an entity of its document unless even the
+largest n(t, e) that both counts allow would disclose too little; this loses nothing. Everything is
+aggregated before a shuffle or split by Spark's joins; the driver sees no data.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -29,12 +28,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.common import stored
+from fleetsight.llm.common import broadcast_within, stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that make up its context.
-REACH = 8
-#: Different contexts in which a term must meet an entity.
+#: Documents at chance level that count beside those with a term.
+PRIOR = 0.0
+#: Different texts in which a term must meet an entity.
 SUPPORT = 3
 #: Share of an entity's information that a term may not disclose.
 DISCLOSURE = 0.8
@@ -43,6 +42,8 @@ REMOVE_FROM = 0.95
 PLACEHOLDERS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
 _TERM_KIND = len(KINDS)
 _ROWS = 512
+#: Copies up to which their row numbers are broadcast (about 16 MB); more are shuffled.
+BROADCAST_COPIES = 1_000_000
 
 # Fixed forms. All run in one pass: what repeats is possessive, or starts at an anchor that occurs once.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -95,41 +96,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans, key=lambda x: (x[0], x[2]))
 
 
-def _around(text: str, begin: int, end: int, reach: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """Terms among the nearest words on both sides, outside ``spans``: (start, end, lower-cased)."""
-    # A word is taken to have at most 64 characters here, so that a text without spaces costs no more.
-    before = list(_TERM.finditer(text, max(0, begin - 64 * reach), begin))[-reach:]
-    after = list(_TERM.finditer(text, end, min(len(text), end + 64 * reach)))[:reach]
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Terms of the whole text that overlap none of ``spans``, which are in order."""
+    near, covered = 0, 0
+    for m in _TERM.finditer(text):
+        while near < len(spans) and spans[near][0] < m.end():
+            covered = max(covered, spans[near][1])
+            near += 1
+        if covered <= m.start():
+            yield m.start(), m.end()
 
-    def free(m) -> bool:
-        near = bisect_left(spans, (m.end(),))
-        return all(e <= m.start() for _, e, _ in spans[max(0, near - 4):near])
 
-    return [(m.start(), m.end(), m[0].lower()) for m in (*before, *after) if free(m)]
+_FOUND = "row long, doc_id long, copy binary, spans array<struct<start:int,stop:int,kind:int,entity:string>>, terms array<struct<start:int,stop:int,term:string>>"
 
 
-_FOUND = "row long, doc_id long, spans array<struct<start:int,stop:int,kind:int,entity:string,terms:array<struct<start:int,stop:int,term:string>>>>"
-
-
-def _found(reach: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    term = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("term", pa.string())])
-    kind = pa.list_(pa.struct([
-        ("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("entity", pa.string()), ("terms", pa.list_(term)),
-    ]))
+def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans, and the terms of documents that have any; ``copy`` is the identity of the text."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("entity", pa.string())]))
+    term = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("term", pa.string())]))
     for batch in batches:
         for at in range(0, batch.num_rows, _ROWS):
             part = batch.slice(at, _ROWS)
-            spans = []
+            copies, spans, terms = [], [], []
             for text in part.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                spans.append([
-                    {"start": s, "stop": e, "kind": k, "entity": f"{KINDS[k]}:{text[s:e].lower()}",
-                     "terms": [{"start": a, "stop": b, "term": t} for a, b, t in _around(text, s, e, reach, base)]}
-                    for s, e, k in base
-                ])
+                copies.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                spans.append([{"start": s, "stop": e, "kind": k, "entity": f"{KINDS[k]}:{text[s:e].lower()}"} for s, e, k in base])
+                terms.append([{"start": s, "stop": e, "term": text[s:e]} for s, e in _terms(text, base)] if base else [])
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), pa.array(spans, kind)], names=["row", "doc_id", "spans"]
+                [part.column("row"), part.column("doc_id"), pa.array(copies, pa.binary()), pa.array(spans, kind), pa.array(terms, term)],
+                names=["row", "doc_id", "copy", "spans", "terms"],
             )
 
 
@@ -139,49 +136,55 @@ def _numbered(docs: DataFrame) -> DataFrame:
     )
 
 
-def find_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """row, doc_id and base spans with their contexts, for each row of ``docs`` (doc_id, text)."""
-    return stored(_numbered(docs).mapInArrow(functools.partial(_found, reach), _FOUND))
+def find_spans(docs: DataFrame) -> DataFrame:
+    """row, doc_id, identity of the text, base spans and terms, for each row of ``docs`` (doc_id, text)."""
+    return stored(_numbered(docs).mapInArrow(_found, _FOUND))
+
 
+def _share(n_te: Column, n_t: Column, n_e: Column, total: int) -> Column:
+    """Share of the entity's information that the term discloses; grows with n_te."""
+    by_term = (n_te + PRIOR * n_e / total) / (F.greatest(n_t, n_te) + PRIOR)
+    return F.log2(by_term * total / n_e) / F.log2(F.greatest(total / n_e, F.lit(1.0001)))
 
-def disclosing_terms(
-    docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE
-) -> DataFrame:
-    """(entity, term, share): terms that disclose at least ``disclosure`` of an entity's information.
 
-    n(t, e) and n(e) count different contexts, n(t) documents, and N all documents; a term that
-    stands in fewer documents than in contexts of the entity counts as often as the latter.
+def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(copy, term, share): terms of a text that disclose at least ``disclosure`` of an entity in it, and the most they do.
+
+    A term that is found in fewer documents than beside the entity counts as often as the latter.
     """
-    contexts = found.select(F.explode("spans").alias("s")).select(
-        F.col("s.entity").alias("entity"),
-        F.xxhash64(F.transform("s.terms", lambda t: t["term"])).alias("context"),
-        F.array_distinct(F.transform("s.terms", lambda t: t["term"])).alias("terms"),
-    )
-    distinct = contexts.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
-    often = distinct.groupBy(F.col("entity").alias("e")).agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    together = (
-        distinct.join(often, F.col("entity") == F.col("e"))
-        .select("entity", "n_e", F.explode("terms").alias("term"))
-        .groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    firsts = stored(found.groupBy("copy").agg(F.min("row").alias("first")).select("first"))
+    total = firsts.count()
+    again = stored(found.select("row").join(firsts, F.col("row") == F.col("first"), "left_anti"))
+    once = _numbered(docs).join(broadcast_within(again, BROADCAST_COPIES), "row", "left_anti")
+    found_words = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}]{3,}"), F.lit(0)), F.lower)
+    by_word = once.select(F.explode(F.array_distinct(found_words)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
+
+    holding = found.where(F.size("terms") > 0).join(firsts, F.col("row") == F.col("first"), "left_semi")
+    terms = holding.select("copy", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["term"])))).alias("term"))
+    terms = terms.join(by_word, F.col("term") == F.col("w"), "left").select("copy", "term", "n_t")
+    entities = holding.select("copy", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
+    often = entities.groupBy(F.col("entity").alias("e")).agg(F.count(F.lit(1)).alias("n_e"))
+    entities = stored(entities.join(often, F.col("entity") == F.col("e")).select("copy", "entity", "n_e"))
+    # Of entities that no other text holds, all are disclosed alike: one of each text stands for them.
+    entities = entities.where("n_e > 1").unionByName(
+        entities.where("n_e = 1").groupBy("copy").agg(F.min("entity").alias("entity"), F.first("n_e").alias("n_e"))
+    ).withColumnRenamed("copy", "c")
+    at_most = _share(F.least("n_t", "n_e"), F.col("n_t"), F.col("n_e"), total)
+    pairs = stored(
+        terms.join(entities, (F.col("copy") == F.col("c")) & (F.col("n_t").isNull() | (at_most >= disclosure))).select("copy", "entity", "term", "n_e", "n_t")
     )
-    together = stored(together)
-    words = docs.select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("w")
+    telling = (
+        pairs.groupBy(F.col("entity").alias("e"), F.col("term").alias("t"))
+        .agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+        .where(F.col("n_te") >= SUPPORT).select("e", "t", _share(F.col("n_te"), F.col("n_t"), F.col("n_e"), total).alias("share")).where(F.col("share") >= disclosure)
     )
-    wanted = together.select("term").distinct()
-    # Counted before the join, so that this has a row per term and not one per occurrence.
-    by_word = words.groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
-    counts = by_word.join(wanted, F.col("w") == F.col("term")).select("term", "n_t")
-    total = F.lit(docs.count())
-    n_t = F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te"))
-    n_e = F.col("n_e")
-    share = F.log2(F.col("n_te") * total / (n_t * n_e)) / F.log2(F.greatest(total / n_e, F.lit(1.0001)))
     return stored(
-        together.join(counts, "term", "left").select("entity", "term", share.alias("share")).where(F.col("share") >= disclosure)
+        pairs.select("copy", "entity", "term").join(telling, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
+        .groupBy("copy", "term").agg(F.max("share").alias("share"))
     )
 
 
-def all_spans(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): row, doc_id and spans (start, kind, stop, share), in order.
 
     Base spans are 0 to 3 by kind and have no share; terms are 4. Null texts count as empty; rows
@@ -189,16 +192,15 @@ def all_spans(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, discl
     text are read. ``docs`` should be a table's scan, which gives the same rows in the same splits
     each time.
     """
-    found = find_spans(docs, reach)
-    telling = disclosing_terms(docs, found, support, disclosure)
+    found = find_spans(docs)
+    telling = disclosing_terms(docs, found, disclosure).withColumnsRenamed({"copy": "c", "term": "telling"})
     terms = (
-        found.select("row", F.explode("spans").alias("s")).select("row", "s.entity", F.explode("s.terms").alias("t"))
-        .select("row", "entity", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.col("t.term").alias("term"))
-        .join(telling, ["entity", "term"])
-        .groupBy("row", "start", "stop").agg(F.max("share").alias("share"))
+        found.select("row", "copy", F.explode("terms").alias("t"))
+        .select("row", "copy", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.lower("t.term").alias("term"))
+        .join(telling, (F.col("copy") == F.col("c")) & (F.col("term") == F.col("telling")))
         .groupBy("row").agg(F.collect_list(F.struct(
             "start", F.lit(_TERM_KIND).alias("kind"), "stop", "share"
-        )).alias("more"))  # no more than the terms around the entities of one document
+        )).alias("more"))  # no more than the terms of one document
     )
     plain = F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lit(None).cast("double").alias("share")

@@ -151,6 +151,16 @@ def test_terms_that_disclose_an_entity(spark):
     assert not [s for d in range(100, 160) for s in found[d].spans]
 
 
+def test_terms_disclose_anywhere_in_the_document(spark):
+    far = "so then we all went home again " * 10
+    rows = [(i, f"write to z@zorb.example {far} said Zorbaxi") for i in range(4)]
+    rows = [(i, t + f" part{'abcd'[i]}") for i, t in rows] + [(10 + i, f"{far} {'abcdefghij'[i % 10] * (3 + i // 10)}") for i in range(60)]
+    for r in pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r.doc_id]
+        terms = {text[s.start:s.stop] for s in r.spans if s.kind == 4}
+        assert ("Zorbaxi" in terms) == (r.doc_id < 4) and not terms & {"home", "again", "went"}
+
+
 def test_tree_concatenation_is_exact():
     own = tree_bpe.codec(vocabulary_path(tree_bpe.VOCABULARY))
     rnd = random.Random(5)
