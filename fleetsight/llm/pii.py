@@ -9,7 +9,8 @@ with counts over the corpus, the pointwise mutual information of a term and an e
 is the part of the entity's information IC(e) = log2(N / n(e)) that the term discloses. Terms that
 disclose at least a threshold share of it are added as spans of kind ``term`` wherever they stand in
 a document that holds the entity. All counts are of whole documents; equal texts count once, so copies
-prove nothing. A term must meet the entity in ``SUPPORT`` of them.
+prove nothing. Every entity is assessed, however rare: the prior, a document at chance level, is what
+keeps a single meeting in a small corpus from proving as much as many do.
 
 Passes. The first finds base spans and, where there are any, the terms of the document. The second
 counts the documents of every term. A term is paired with an entity of its document unless even the
@@ -32,9 +33,7 @@ from fleetsight.llm.common import broadcast_within, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents at chance level that count beside those with a term.
-PRIOR = 0.0
-#: Different texts in which a term must meet an entity.
-SUPPORT = 3
+PRIOR = 1.0
 #: Share of an entity's information that a term may not disclose.
 DISCLOSURE = 0.8
 #: Share from which on a term is removed; below, a general word stands for it.
@@ -176,7 +175,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISC
     telling = (
         pairs.groupBy(F.col("entity").alias("e"), F.col("term").alias("t"))
         .agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
-        .where(F.col("n_te") >= SUPPORT).select("e", "t", _share(F.col("n_te"), F.col("n_t"), F.col("n_e"), total).alias("share")).where(F.col("share") >= disclosure)
+        .select("e", "t", _share(F.col("n_te"), F.col("n_t"), F.col("n_e"), total).alias("share")).where(F.col("share") >= disclosure)
     )
     return stored(
         pairs.select("copy", "entity", "term").join(telling, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))

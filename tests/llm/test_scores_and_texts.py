@@ -161,6 +161,14 @@ def test_terms_disclose_anywhere_in_the_document(spark):
         assert ("Zorbaxi" in terms) == (r.doc_id < 4) and not terms & {"home", "again", "went"}
 
 
+def test_a_name_met_once_discloses(spark):
+    rows = [(0, "mail to q@q.example from Quixotania please"), (1, "mail from home please")]
+    rows += [(2 + i, f"mail from home please {'abcdefghij'[i % 10] * (3 + i // 10)}") for i in range(100)]
+    found = {r.doc_id: r for r in pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [rows[0][1][s.start:s.stop] for s in found[0].spans if s.kind == 4] == ["Quixotania"]
+    assert not any(found[i].spans for i in range(1, 102))
+
+
 def test_tree_concatenation_is_exact():
     own = tree_bpe.codec(vocabulary_path(tree_bpe.VOCABULARY))
     rnd = random.Random(5)
