@@ -305,7 +305,8 @@ class _Join:
             links = found if links is None else stored(links.unionByName(found))
             roots = components(links)
             rows, number = self.with_components(self.rows, roots), number + 1
-            if found.count() * STAR_YIELD < pairs.count() or rows.isEmpty():
+            # Also where no star has a pair left that may link: later rounds would have the same.
+            if found.count() * STAR_YIELD <= pairs.count() or rows.isEmpty():
                 break
         links = stored(links.unionByName(self.verified(self.pairs(rows).distinct())))
         return links, components(links)

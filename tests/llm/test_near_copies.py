@@ -73,6 +73,20 @@ def test_families_of_near_copies(spark, words, percent, seed):
     check(spark.createDataFrame(rows, "doc_id long, text string"), words, percent)
 
 
+def test_stars_end_without_pairs(spark, monkeypatch):
+    rounds, stars = [], jaccard_join._Join.stars
+
+    def counted(self, rows, number):
+        rounds.append(number)
+        assert number < 5
+        return stars(self, rows, number)
+
+    monkeypatch.setattr(jaccard_join._Join, "stars", counted)
+    a, x = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("x", 55)))
+    check(spark.createDataFrame([(1, a), (2, x), (3, f"{a} {x}")], "doc_id long, text string"), 1, 80)
+    assert rounds == [0]
+
+
 def test_one_of_each_keeps_columns(docs):
     left = jaccard_join.one_of_each(docs, words=3, percent=80)
     assert left.columns == docs.columns
