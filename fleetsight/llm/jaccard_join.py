@@ -13,6 +13,9 @@
    components that are left are formed. No cap is set, and no link between components is missed.
 4. A pair is a candidate once, however many shingles it shares; the suffix filter compares the
    counts in ranges, and what remains is verified by the full sets.
+5. Where each document's number of links is asked for, all pairs within a component count. Its sets are
+   dealt into blocks by hash, and every two blocks meet in one task, which counts common shingles by
+   products of incidence matrices; so a set is sent once per block of its component, not once per pair.
 
 Shuffles carry prefix rows, pairs, and the sets of candidates; texts only of documents in candidates.
 """
@@ -46,6 +49,10 @@ STAR_YIELD = 10
 BROADCAST_TOKENS = 1_000_000
 BROADCAST_SETS = 200_000
 _ROWS = 256
+#: Sets in a block, about; two blocks are in memory at once.
+BLOCK = 128
+#: Shingles that an incidence matrix of two blocks covers at a time.
+_COLUMNS = 4096
 
 # Multipliers of the hash, from the golden ratio and its finalizer.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -182,6 +189,68 @@ def _verified(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Re
         )
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common members of every set of ``left`` with every one of ``right``."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    total = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(shared), _COLUMNS):
+        part = shared[at:at + _COLUMNS]
+
+        def incidence(sets: list[np.ndarray]) -> np.ndarray:
+            out = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                some = s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], side="right")]
+                places = np.searchsorted(part, some)
+                out[i, places[part[places] == some]] = 1
+            return out
+
+        total += np.rint(incidence(left) @ incidence(right).T).astype(np.int64)
+    return total
+
+
+def _block_links(percent: int, key: tuple, members: list[tuple]) -> Iterator[tuple[bytes, int]]:
+    """(sig, documents that it links with) for the members (sig, block, copies, shingles) of two blocks, or of one with itself."""
+    _, low, high = key
+    left, right = [m for m in members if m[1] == low], [m for m in members if m[1] == high]
+    if not left or not right:
+        return
+    x, y = ([np.frombuffer(m[3], np.uint64) for m in side] for side in (left, right))
+    common = _common(x, y)
+    union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
+    linked = 100 * common >= percent * union
+    if low == high:
+        np.fill_diagonal(linked, False)
+    yield from zip((m[0] for m in left), (linked @ np.array([m[2] for m in right])).tolist())
+    if low != high:
+        yield from zip((m[0] for m in right), (np.array([m[2] for m in left]) @ linked).tolist())
+
+
+def _links_of_blocks(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by comp, low and high."""
+    key, members, sigs, counts = None, [], [], []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(counts, pa.int64())], names=["sig", "links"])
+
+    def settle() -> None:
+        for sig, n in _block_links(percent, key, members) if members else ():
+            if n:
+                sigs.append(sig)
+                counts.append(n)
+
+    for rows in _texts(batches):
+        for comp, low, high, *member in rows:
+            if (comp, low, high) != key:
+                settle()
+                key, members = (comp, low, high), []
+            members.append(tuple(member))
+        if len(sigs) >= _ROWS:
+            yield made()
+            sigs, counts = [], []
+    settle()
+    yield made()
+
+
 def _may_link(percent: int, n: Column, place: Column, m: Column, other: Column) -> Column:
     """Length and positional filter for a shared shingle at ``place`` of n and ``other`` of m."""
     most = F.least(place, other) + 1 + F.least(n - place, m - other) - 1
@@ -312,12 +381,42 @@ class _Join:
         return links, components(links)
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): row, doc_id, n_shingles, component_id, first.
+    def n_links(self, roots: DataFrame) -> DataFrame:
+        """(sig, links): documents of another set that each set links with; sets without any are left out."""
+        copies = self.documents.where("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
+        sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("k"))
+        blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+        placed = (
+            roots.join(sizes.withColumnRenamed("root", "r"), F.col("root") == F.col("r"))
+            .select(F.col("vertex").alias("v"), "root", blocks.alias("blocks"), F.pmod(F.xxhash64("vertex"), blocks).cast("int").alias("block"))
+        )
+        wanted = stored(
+            placed.join(self.vertices.select("sig", "row"), F.col("v") == F.col("sig")).drop("v").join(copies, "sig")
+        )
+        numbers = wanted.select("sig", "row")
+        sets = stored(
+            self.texts.select("row", "text").join(broadcast_within(numbers, BROADCAST_SETS), "row").select("sig", "text")
+            .mapInArrow(functools.partial(_sets, self.words), "sig binary, shingles binary")
+        )
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        meeting = (
+            wanted.join(sets, "sig").select("root", "sig", "block", "copies", "shingles", other)
+            .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "sig", "block", "copies", "shingles")
+        )
+        found = meeting.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(
+            functools.partial(_links_of_blocks, self.percent), "sig binary, links long"
+        )
+        return stored(found.groupBy("sig").agg(F.sum("links").alias("links")))
+
+
+def jaccard_components(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, count_links: bool = False
+) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): row, doc_id, n_shingles, component_id, first, and n_links if asked for.
 
     Documents link when their shingle sets have at least ``percent`` hundredths of the union in common.
     component_id is the smallest doc_id that links reach; ``first`` marks one row per component, with
-    that id. Null, empty and blank texts have no shingles and link with nothing: their component is
+    that id. n_links is the number of other rows that link with this one, copies included. Null, empty and blank texts have no shingles and link with nothing: their component is
     their own id. Rows with equal ids count each for itself; null ids are larger than all others. An
     empty table gives no rows. Only doc_id and text are read. ``docs`` should be a table's scan, which
     gives the same rows in the same splits each time.
@@ -333,10 +432,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     by_set = placed.select("sig", "root").join(best, "root").select(
         F.col("sig").alias("s"), F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("best_row")
     )
+    counts = []
+    if count_links:
+        copies = join.documents.where("n > 0").groupBy(F.col("sig").alias("s")).agg((F.count(F.lit(1)) - 1).alias("copies"))
+        by_set = by_set.join(copies, "s").join(join.n_links(roots).withColumnRenamed("sig", "o"), F.col("s") == F.col("o"), "left").drop("o")
+        counts = [(F.coalesce("copies", F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links")]
     return join.documents.join(by_set, F.col("sig") == F.col("s"), "left").select(
         "row", "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("s").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        (F.col("s").isNull() | (F.col("row") == F.col("best_row"))).alias("first"),
+        (F.col("s").isNull() | (F.col("row") == F.col("best_row"))).alias("first"), *counts,
     )
 
 

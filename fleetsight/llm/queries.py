@@ -36,8 +36,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_join.jaccard_components(source(spark, sf_dir, "documents"), words=3, percent=90)
-    return found.select("doc_id", "n_shingles", "component_id")
+    found = jaccard_join.jaccard_components(source(spark, sf_dir, "documents"), words=3, percent=90, count_links=True)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

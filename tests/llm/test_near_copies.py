@@ -73,6 +73,27 @@ def test_families_of_near_copies(spark, words, percent, seed):
     check(spark.createDataFrame(rows, "doc_id long, text string"), words, percent)
 
 
+@pytest.mark.parametrize("block", [4, 128])
+def test_every_link_counts(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rnd, rows = random.Random(6), [(90, None), (91, ""), (92, "alone here")]
+    for size in (1, 2, 24):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(40)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rnd.randrange(6)):
+                copy[rnd.randrange(40)] = f"v{rnd.randrange(50)}"
+            rows += [(len(rows), " ".join(copy))] * rnd.choice([1, 1, 2])
+    sets = [set((t or "").split()) for _, t in rows]
+    want = sorted(
+        (rows[i][0], sum(1 for j, b in enumerate(sets) if j != i and a and b and 100 * len(a & b) >= 80 * len(a | b)))
+        for i, a in enumerate(sets)
+    )
+    assert sum(n for _, n in want) > 4 * len(rows)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80, 10, count_links=True)
+    assert sorted((r.doc_id, r.n_links) for r in got.collect()) == want
+
+
 def test_stars_end_without_pairs(spark, monkeypatch):
     rounds, stars = [], jaccard_join._Join.stars
 
