@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.llm import (
-    exact_dedup, fingerprints, jaccard_join, line_dedup, pii, quality_ranking, quality_rules, toxicity, tree_bpe,
-    vector_codes, warc,
+    exact_dedup, fingerprints, jaccard_join, line_dedup, periodic_runs, pii, quality_ranking, quality_rules, toxicity,
+    tree_bpe, vector_codes, warc,
 )
 from fleetsight.llm.common import held_out, source
 from fleetsight.llm.packing import pack_documents
@@ -79,6 +79,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(source(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = periodic_runs.planted(source(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(texts))
+
+
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(source(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_tree_bpe": op9_tree_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_document_fingerprints": op12_document_fingerprints,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -106,6 +112,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op6_warc_index_merge": warc.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_periodic_runs": periodic_runs.ORACLE_SQL,
     "op12_document_fingerprints": fingerprints.ORACLE_SQL,
     "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
