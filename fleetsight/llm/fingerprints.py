@@ -211,6 +211,22 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     )
 
 
+def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("position", pa.int64())]))
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(at, _ROWS)
+            found = winnow_all([text or "" for text in part.column(1).to_pylist()])
+            entries = [[{"hash": h, "position": p} for h, p in own.tolist()] for own in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(entries, kind)], names=["doc_id", "entries"])
+
+
+def document_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and entries (array of hash and position) of every row, without any shuffle."""
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return narrow.mapInArrow(_entries, "doc_id long, entries array<struct<hash:long,position:long>>")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     return in_ranges(docs).mapInArrow(_compared, _RESULT)
