@@ -18,7 +18,7 @@ def json_object(fields: list[tuple[str, Column]]) -> Column:
 
 
 def merge_json(base: Column, extra: Column) -> Column:
-    """Members of two JSON objects in one; NULL counts as an empty object."""
+    """Members of two JSON objects without a common name in one; NULL counts as an empty object."""
     left = F.coalesce(base, F.lit("{}"))
     right = F.coalesce(extra, F.lit("{}"))
     joined = F.concat(
@@ -29,6 +29,58 @@ def merge_json(base: Column, extra: Column) -> Column:
     return F.when(right == "{}", left).when(left == "{}", right).otherwise(joined)
 
 
+def json_text(value: Column) -> Column:
+    """JSON text of one value; NULL stays NULL."""
+    listed = F.to_json(F.array(value))
+    return F.when(value.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
+class Members:
+    """Members of one JSON object in the making: of equal names the later value wins, where it is not NULL."""
+
+    def __init__(self, fields: list[tuple[str, Column]] = ()):
+        self.values: dict[str, tuple[Column, bool]] = {}
+        for name, value in fields:
+            self.put(name, value)
+
+    def put(self, name: str, value: Column, is_json: bool = False) -> None:
+        """Sets a member; with ``is_json`` its value is JSON text already."""
+        if name in self.values:
+            old, old_json = self.values[name]
+            if is_json != old_json:
+                old, value = (old if old_json else json_text(old)), (value if is_json else json_text(value))
+            value, is_json = F.coalesce(value, old), is_json or old_json
+        self.values[name] = value, is_json
+
+    def json(self) -> Column:
+        """The object, written once."""
+        text = json_object([(n, value) for n, (value, is_json) in self.values.items() if not is_json])
+        for name, (value, is_json) in self.values.items():
+            if is_json:
+                text = merge_json(text, raw_member(name, value))
+        return text
+
+
+def last_members(text: Column) -> Column:
+    """JSON object text in which every name stands once, with its last value; NULL if it is not an object."""
+    entries = F.map_entries(F.from_json(text, "map<string,variant>"))
+    later = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+    return F.to_json(F.map_from_entries(F.filter(entries, later)))
+
+
+def overwrite_json(base: Column, fields: list[tuple[str, Column]]) -> Column:
+    """Object text with further members, which replace those of the same name; NULL values change nothing."""
+    new = json_object(fields)
+    given = F.array_compact(F.array(*[F.when(value.isNotNull(), F.lit(name)) for name, value in fields]))
+    old = F.from_json(base, "map<string,variant>")
+    rest = F.to_json(F.map_filter(old, lambda k, _: ~F.array_contains(given, k)))
+    # Names are unlikely to be there, and parsing is for texts that might have one.
+    maybe = F.lit(False)
+    for name, value in fields:
+        maybe = maybe | (value.isNotNull() & F.contains(base, json_text(F.lit(name))))
+    return merge_json(F.when(maybe, rest).otherwise(base), new)
+
+
 def raw_member(name: str, json: Column) -> Column:
     """Object with one member whose value is JSON text already; NULL when it is absent."""
     return F.concat(F.lit('{"' + name + '":'), json, F.lit("}"))

@@ -18,15 +18,57 @@ def clean_path(path: str) -> str:
 
 
 def path_type(schema: T.StructType, path: str) -> T.DataType | None:
-    """Type at ``path``; None when a step is missing or is not a struct."""
+    """Type at ``path``; None when a step is missing or is not a struct. Below a VARIANT every step may be."""
     current: T.DataType = schema
     for step in clean_path(path).split("."):
+        if isinstance(current, T.VariantType) and step and "'" not in step:
+            continue
         if not isinstance(current, T.StructType) or step not in current.names:
             return None
         current = current[step].dataType
     return current
 
 
+#: Lists and objects inside a VARIANT are written out so deep; what lies deeper is written as JSON.
+VARIANT_DEPTH = 3
+
+
+def variant_text(value: Column, depth: int = VARIANT_DEPTH) -> Column:
+    """Text of a VARIANT by what it holds: as typed values have it, null as NULL."""
+    plain = F.try_variant_get(value, "$", "string")
+    if not depth:
+        return plain
+    kind = F.schema_of_variant(value)
+
+    def inner(x: Column) -> Column:
+        return F.coalesce(variant_text(x, depth - 1), F.lit("<nil>"))
+
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), inner)
+    members = F.try_variant_get(value, "$", "map<string,variant>")
+    shown = F.transform(
+        F.array_sort(F.map_keys(members)), lambda k: F.concat(k, F.lit(":"), inner(F.element_at(members, k)))
+    )
+    return (
+        F.when(kind.startswith("ARRAY"), F.concat(F.lit("["), F.array_join(items, " "), F.lit("]")))
+        .when(kind.startswith("OBJECT"), F.concat(F.lit("map["), F.array_join(shown, " "), F.lit("]")))
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), as_text(F.try_variant_get(value, "$", "double"), T.DoubleType()))
+        .otherwise(plain)
+    )
+
+
+def _variant_at(schema: T.StructType, path: str) -> tuple[str, str] | None:
+    """(steps to a VARIANT, path inside it) where a dotted path leads through one."""
+    steps = clean_path(path).split(".")
+    current: T.DataType = schema
+    for i, step in enumerate(steps):
+        if isinstance(current, T.VariantType):
+            return ".".join(f"`{s}`" for s in steps[:i]), "$" + "".join(f"['{s}']" for s in steps[i:])
+        if not isinstance(current, T.StructType) or step not in current.names:
+            return None
+        current = current[step].dataType
+    return None
+
+
 def as_text(value: Column, dtype: T.DataType) -> Column:
     """Text of a value: lists as ``[a b]``, floats without trailing zeros, NULL kept."""
     if isinstance(dtype, T.StringType):
@@ -48,6 +90,8 @@ def as_text(value: Column, dtype: T.DataType) -> Column:
         ]
         body = F.concat(F.lit("map["), F.concat_ws(" ", *parts), F.lit("]"))
         return F.when(value.isNotNull(), body)
+    if isinstance(dtype, T.VariantType):
+        return variant_text(value)
     if isinstance(dtype, T.TimestampType):
         return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return value.cast("string")
@@ -64,6 +108,9 @@ def path_text(df: DataFrame, path: str, strict: bool = True) -> Column:
         if strict:
             raise UnknownPath(path)
         return F.lit("")
+    inside = _variant_at(df.schema, path)
+    if inside:
+        return F.coalesce(variant_text(F.try_variant_get(F.col(inside[0]), inside[1], "variant")), F.lit(""))
     column = F.col(".".join(f"`{step}`" for step in clean_path(path).split(".")))
     return F.coalesce(as_text(column, dtype), F.lit(""))
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -13,25 +12,21 @@ BROADCAST_RULES = 5_000
 PREDICATES_PER_ARRAY = 200
 
 
-@contextmanager
-def errors_as_null(spark: SparkSession) -> Iterator[None]:
-    """Predicates analysed inside give NULL where they would raise: bad casts, indexes, divisions.
-
-    Spark fixes this per expression at analysis. The setting is put back at once, so it holds for
-    nothing else.
-    """
-    name = "spark.sql.ansi.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def require_ansi(spark: SparkSession) -> None:
+    """Predicates rely on errors being raised: without ANSI rules overflow would wrap and match."""
+    if spark.conf.get("spark.sql.ansi.enabled").lower() != "true":
+        raise ValueError("rules need spark.sql.ansi.enabled=true: without it arithmetic wraps instead of failing")
 
 
 def holds(expr: str) -> Column:
-    """A predicate that is false where it is NULL, so it cannot drop or fail other rules."""
-    return F.coalesce(F.expr(expr), F.lit(False))
+    """A predicate that is false where it is NULL or fails, whatever in it fails on an event.
+
+    Spark's ``try_add`` of a date and a number of days evaluates its operands, too, so that any error
+    in them gives NULL: overflow, bad casts, indexes, patterns, divisions, raised errors. The condition
+    around it is always met; it keeps the optimiser from computing parts that predicates have in common outside.
+    """
+    tried = f"try_add(DATE'1970-01-01', CAST(({expr}\n) AS INT)) > DATE'1970-01-01'"
+    return F.coalesce(F.expr(f"CASE WHEN octet_length(kind) >= 0 THEN {tried} END"), F.lit(False))
 
 
 def match(df: DataFrame, rules: Sequence[Row]) -> DataFrame:
@@ -41,6 +36,7 @@ def match(df: DataFrame, rules: Sequence[Row]) -> DataFrame:
     no rule is dropped by the filter Catalyst infers below the explode. A predicate that fails on an
     event counts as not met there.
     """
+    require_ansi(df.sparkSession)
     if not rules:
         return df.withColumn("rule_idx", F.lit(0)).where(F.lit(False))
     blocks = []
@@ -50,8 +46,7 @@ def match(df: DataFrame, rules: Sequence[Row]) -> DataFrame:
             F.array(*[F.when(holds(r["expr"]), F.lit(start + i)) for i, r in enumerate(block)])
         )
     hits = F.array_compact(F.concat(*blocks) if len(blocks) > 1 else blocks[0])
-    with errors_as_null(df.sparkSession):
-        return df.withColumn("rule_idx", F.explode(hits))
+    return df.withColumn("rule_idx", F.explode(hits))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Row]) -> DataFrame:

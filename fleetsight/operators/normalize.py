@@ -96,6 +96,12 @@ def _clock(df: DataFrame, name: str) -> tuple[Column, Column]:
     return ts, timestamp_ns(ts)
 
 
+def _hashable(df: DataFrame, name: str) -> Column:
+    """VARIANT values have no hash; their text has."""
+    value = F.col(f"`{name}`")
+    return F.to_json(value) if isinstance(df.schema[name].dataType, T.VariantType) else value
+
+
 def normalize(df: DataFrame, args_encoding: str = "base64") -> DataFrame:
     """Flat columns beside the nested blocks; see the module text for defaults."""
     if "kind" not in df.columns:
@@ -111,7 +117,7 @@ def normalize(df: DataFrame, args_encoding: str = "base64") -> DataFrame:
     if "event_time_ns" in df.columns:
         clocks["order_ns"] = F.coalesce(F.col("event_time_ns"), processed_ns, F.lit(0).cast("bigint"))
     if "event_seq" not in df.columns:
-        content = [F.col(f"`{c}`") for c in df.columns]
+        content = [_hashable(df, c) for c in df.columns]
         clocks["event_seq"] = F.xxhash64(*content)
     envelope = {n: F.expr(_text(n)) for n in ("machine_id", "boot_session_uuid")}
     df = df.withColumns({**envelope, **clocks})
@@ -134,8 +140,13 @@ def event_json(df: DataFrame) -> Column:
         f'date_format(processed_time, "{stamp}") AS processed_time), '
         "map('ignoreNullFields', 'false'))"
     )
+    def text(kind: str) -> str:
+        # A VARIANT block has the members that its record had.
+        is_open = isinstance(df.schema[kind].dataType, T.VariantType)
+        return f"to_json(`{kind}`)" if is_open else f"to_json(`{kind}`, map('ignoreNullFields', 'false'))"
+
     arms = " ".join(
-        f"""WHEN '{k}' THEN concat('{{"{k}":', to_json(`{k}`, map('ignoreNullFields', 'false')), '}}')"""
+        f"""WHEN '{k}' THEN concat('{{"{k}":', {text(k)}, '}}')"""
         for k in KINDS
         if k in df.columns
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from fleetsight.functions.json_text import json_object, merge_json, non_empty, raw_member
+from fleetsight.functions.json_text import Members, merge_json, non_empty, overwrite_json
 from fleetsight.functions.paths import clean_path, path_text
 from fleetsight.functions.times import ns_timestamp
 from fleetsight.operators.match import per_rule, with_rule_meta
@@ -55,40 +55,43 @@ def message_context() -> list[tuple[str, Column]]:
     return [(n, non_empty(F.col(n))) for n in CONTEXT_FIELDS] + [("kind", F.col("kind"))]
 
 
-def extra_context(events: DataFrame, rule: Row, strict: bool = True) -> Column:
-    """JSON object of the rule's extra paths; empty values are left out."""
-    fields = []
-    for path in rule["extra_context"] or []:
+def _put_extra(members: Members, events: DataFrame, paths: Sequence[str], strict: bool) -> None:
+    """Adds the values at a rule's extra paths; empty values are left out."""
+    for path in paths:
         if not path:
             continue
         name = clean_path(path)
         if name == ARGS_PATH:
-            args = F.col("decoded_args")
-            fields.append((name, F.when(F.col("kind") == "execution", args)))
+            members.put(name, F.when(F.col("kind") == "execution", F.col("decoded_args")))
         else:
-            fields.append((name, non_empty(path_text(events, path, strict))))
-    return json_object(fields)
+            members.put(name, non_empty(path_text(events, path, strict)))
 
 
 def simple_context(events: DataFrame, rules: Sequence[Row], strict: bool = True) -> Column:
-    """Context JSON of simple matches, with the event or extra paths where the rule asks."""
-    context = json_object(message_context())
-    if any(r["include_event"] for r in rules):
-        wanted = per_rule(rules, lambda r: F.lit(bool(r["include_event"])), F.lit(False))
-        context = merge_json(context, F.when(wanted, raw_member("event", event_json(events))))
-    if any(r["extra_context"] for r in rules):
-        extra = per_rule(
-            [r if r["extra_context"] else None for r in rules],
-            lambda r: extra_context(events, r, strict) if r else F.lit("{}"),
-            F.lit("{}"),
-        )
-        context = merge_json(context, extra)
+    """Context JSON of simple matches, with the event or extra paths where the rule asks.
+
+    Rules that ask for the same share one expression. An extra path of a name that is there already
+    replaces it where it has a value.
+    """
+    asking: dict[tuple, list[int]] = {}
+    for idx, rule in enumerate(rules):
+        asked = bool(rule["include_event"]), tuple(rule["extra_context"] or ())
+        asking.setdefault(asked, []).append(idx)
+    context = Members(message_context()).json()
+    for (with_event, paths), members_of in asking.items():
+        if not with_event and not paths:
+            continue
+        members = Members(message_context())
+        if with_event:
+            members.put("event", event_json(events), is_json=True)
+        _put_extra(members, events, paths, strict)
+        context = F.when(F.col("rule_idx").isin(members_of), members.json()).otherwise(context)
     return context
 
 
 def enrich(signals: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """Adds context members after the id is fixed; NULL values add nothing."""
-    return signals.withColumn("context", merge_json(F.col("context"), json_object(list(fields.items()))))
+    """Sets context members after the id is fixed, those that are there already too; NULL values change nothing."""
+    return signals.withColumn("context", overwrite_json(F.coalesce("context", F.lit("{}")), list(fields.items())))
 
 
 def signals_from_matches(matches: DataFrame, rules: Sequence[Row], strict: bool = True) -> DataFrame:
@@ -107,16 +110,24 @@ def signals_from_matches(matches: DataFrame, rules: Sequence[Row], strict: bool
 
 def window_payload(events: DataFrame, rules: Sequence[Row], strict: bool = True) -> Column:
     """What a firing event hands to its signal: host, context and the group's values."""
-    fields = [n for n in CONTEXT_FIELDS if n != "target_team"]
-    shown = json_object([(n, non_empty(F.col(n))) for n in fields] + [("kind", F.col("kind"))])
+    # Who acted is read from the signature of either block here.
+    acting = {"actor_team": "team_id", "actor_signing_id": "signing_id"}
+    context = Members()
+    context.put("sample_event", event_json(events), is_json=True)
+    for name in CONTEXT_FIELDS:
+        if name in acting:
+            value = F.coalesce(*[non_empty(F.col(f"{k}.instigator.code_signature.{acting[name]}")) for k in ("execution", "file_access")])
+            context.put(name, value)
+        elif name != "target_team":
+            context.put(name, non_empty(F.col(name)))
+    context.put("kind", F.col("kind"))
 
     def grouped_by(rule: Row) -> Column:
-        paths = list(rule["group_by"] or [])
-        return json_object([(clean_path(p), non_empty(path_text(events, p, strict))) for p in paths])
+        return Members([(clean_path(p), non_empty(path_text(events, p, strict))) for p in rule["group_by"] or []]).json()
 
     return F.struct(
         F.col("machine_id").alias("host"),
-        merge_json(raw_member("sample_event", event_json(events)), shown).alias("context"),
+        context.json().alias("context"),
         per_rule(rules, grouped_by, F.lit("{}")).alias("grouped_by"),
     )
 
@@ -127,15 +138,15 @@ def signals_from_windows(fires: DataFrame, rules: Sequence[Row]) -> DataFrame:
     distinct_field = per_rule(rules, lambda r: F.lit(r["count_distinct"] or None), F.lit(None).cast("string"))
     distinct = F.when(F.size("distinct_values") > 0, F.col("distinct_values"))
     grouped = F.nullif(F.col("payload.grouped_by"), F.lit("{}"))
-    context = json_object([
+    context = Members([
         ("event_count", F.col("event_count")),
         ("window_type", F.lit("correlation")),
         ("distinct_values", distinct),
         ("distinct_field", F.when(distinct.isNotNull(), distinct_field)),
     ])
-    context = merge_json(context, raw_member("grouped_by", grouped))
+    context.put("grouped_by", grouped, is_json=True)
     return meta.withColumns({
-        "context": merge_json(context, F.col("payload.context")),
+        "context": merge_json(context.json(), F.col("payload.context")),
         "ts": ns_timestamp(F.col("ts_ns")),
         "host_id": F.col("payload.host"),
         "status": F.lit(NEW_STATUS),
@@ -148,9 +159,7 @@ def signals_from_windows(fires: DataFrame, rules: Sequence[Row]) -> DataFrame:
 def signals_from_baselines(matches: DataFrame, rules: Sequence[Row]) -> DataFrame:
     """Signals of first-seen patterns; keeps the columns of ``matches``."""
     meta = with_rule_meta(matches.drop("rule_id"), rules)
-    context = json_object(
-        [("pattern", F.col("pattern")), ("in_learning", F.col("in_learning"))] + message_context()
-    )
+    context = Members([("pattern", F.col("pattern")), ("in_learning", F.col("in_learning")), *message_context()]).json()
     return meta.withColumns({
         "context": context,
         "ts_ns": F.col("order_ns"),

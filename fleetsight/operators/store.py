@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetsight.functions.durations import duration_ns
+from fleetsight.functions.json_text import last_members
 from fleetsight.operators.positions import global_position
 from fleetsight.schema import (
     HEARTBEAT_LIMITS,
@@ -223,7 +224,10 @@ def parsed_signals(store: DataFrame) -> DataFrame:
     """Tags as an array and context as a VARIANT, with defaults for missing text."""
     return store.withColumns({
         "tags": F.coalesce(F.from_json("tags", "array<string>"), F.array().cast("array<string>")),
-        "context": F.coalesce(F.try_parse_json("context"), F.parse_json(F.lit("{}"))),
+        # A text with a name twice is not a value; its last members are.
+        "context": F.coalesce(
+            F.try_parse_json("context"), F.try_parse_json(last_members(F.col("context"))), F.parse_json(F.lit("{}"))
+        ),
         "status": backfilled_status(),
     })
 

@@ -159,6 +159,7 @@ named_struct(
   'instigator', named_struct(
     'id', cast(NULL AS struct<pid:int,pidversion:int>),
     'executable', named_struct('path', actor_path),
+    'code_signature', cast(NULL AS struct<team_id:string,signing_id:string>),
     'effective_user', named_struct('name', user_name)),
   'target', named_struct(
     'id', named_struct('pid', pid, 'pidversion', 1),
@@ -220,7 +221,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind in KINDS:
         body = _BLOCKS.get(kind)
         if body is None:
-            blocks.append(f"cast(NULL AS struct<raw:string>) AS `{kind}`")
+            blocks.append(f"cast(NULL AS variant) AS `{kind}`")
         else:
             blocks.append(f"CASE WHEN kind = '{kind}' THEN {body} END AS `{kind}`")
     return flat.selectExpr(

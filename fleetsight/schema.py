@@ -113,13 +113,14 @@ DEFAULT_TREE_TTL = "1h"
 _PROCESS_ID = "struct<pid:int,pidversion:int>"
 _SIGNATURE = "struct<team_id:string,signing_id:string>"
 
-# The blocks whose fields are read by rules or accessors. Other kinds keep one opaque text.
+# The blocks whose fields are read by shipped rules or accessors. Blocks of other kinds are VARIANT values, so every
+# field that a record has is kept and can be named by a dotted path.
 _BLOCKS = {
     "execution": (
         "struct<decision:string,reason:string,mode:string,"
         "args:array<string>,envs:array<string>,"
         f"instigator:struct<id:{_PROCESS_ID},executable:struct<path:string>,"
-        "effective_user:struct<name:string>>,"
+        f"code_signature:{_SIGNATURE},effective_user:struct<name:string>>,"
         f"target:struct<id:{_PROCESS_ID},parent_id:{_PROCESS_ID},responsible_id:{_PROCESS_ID},"
         "executable:struct<path:string,hash:struct<hash:string>,cdhash:string>,"
         f"code_signature:{_SIGNATURE},"
@@ -143,14 +144,16 @@ _BLOCKS = {
     "xprotect": "struct<detected:struct<detected_path:string>>",
 }
 
+OPEN_KINDS = tuple(k for k in KINDS if k not in _BLOCKS)
+
 _ENVELOPE = (
     "machine_id string, boot_session_uuid string, event_time string, processed_time string"
 )
 
 
 def telemetry_ddl() -> str:
-    """DDL of the raw record: an envelope and one nullable struct per kind."""
-    blocks = ", ".join(f"`{k}` {_BLOCKS.get(k, 'struct<raw:string>')}" for k in KINDS)
+    """DDL of the raw record: an envelope and one nullable block per kind."""
+    blocks = ", ".join(f"`{k}` {_BLOCKS.get(k, 'variant')}" for k in KINDS)
     return f"{_ENVELOPE}, {blocks}"
 
 

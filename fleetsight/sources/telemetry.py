@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from fleetsight.functions.durations import duration_ns
 from fleetsight.operators.normalize import kind_of
-from fleetsight.schema import KINDS, UNKNOWN_KIND, telemetry_schema
+from fleetsight.schema import KINDS, OPEN_KINDS, UNKNOWN_KIND, telemetry_schema
 
 CORRUPT = "_corrupt"
 SOURCE = "source_file"
@@ -38,7 +38,8 @@ def parse_lines(lines: DataFrame, name_style: str = "proto") -> DataFrame:
     """Records of a DataFrame with ``value`` (one JSON text) and ``source_file``.
 
     Adds ``_corrupt``, the text of a line that is not a JSON object. Blank lines are dropped and
-    fields outside the schema are ignored. Other columns of ``lines`` are kept.
+    fields outside the schema are ignored. Blocks of kinds without typed fields are kept whole, with
+    their members' names as they come. Other columns of ``lines`` are kept.
     """
     parsed = _parsed(lines, name_style)
     return parsed.where(F.col("_value") != "").drop("_value")
@@ -55,13 +56,23 @@ def _parsed(lines: DataFrame, name_style: str) -> DataFrame:
     # text anew for every column.
     rows = text.select("_value", *kept, F.inline(F.array(F.from_json("_value", read, options))))
     wanted = telemetry_schema()
-    columns = [
-        F.col(f"`{given.name}`").cast(want.dataType).alias(want.name)
-        for given, want in zip(schema.fields, wanted.fields)
-    ]
+
+    def read_as(given: T.StructField, want: T.StructField) -> Column:
+        value = F.col(f"`{given.name}`")
+        if isinstance(want.dataType, T.VariantType):
+            return F.when(~F.is_variant_null(value), value).alias(want.name)
+        return value.cast(want.dataType).alias(want.name)
+
+    columns = [read_as(given, want) for given, want in zip(schema.fields, wanted.fields)]
+    # A block that is no object makes a line corrupt, as it does where its fields are typed.
+    wrong_block = F.lit(False)
+    for given, want in zip(schema.fields, wanted.fields):
+        if want.name in OPEN_KINDS:
+            kind = F.schema_of_variant(F.col(f"`{given.name}`"))
+            wrong_block = wrong_block | F.coalesce(~kind.startswith("OBJECT") & (kind != "VOID"), F.lit(False))
     blank = F.col("_value") == ""
     not_object = ~F.startswith(F.col("_value"), F.lit("{"))
-    corrupt = F.when(~blank, F.coalesce(F.col(CORRUPT), F.when(not_object, F.col("_value"))))
+    corrupt = F.when(~blank, F.coalesce(F.col(CORRUPT), F.when(not_object | wrong_block, F.col("_value"))))
     return rows.select(*columns, corrupt.alias(CORRUPT), *kept, "_value")
 
 
