@@ -30,14 +30,18 @@ def path_type(schema: T.StructType, path: str) -> T.DataType | None:
 
 
 #: Lists and objects inside a VARIANT are written out so deep; what lies deeper is written as JSON.
-VARIANT_DEPTH = 3
+VARIANT_DEPTH = 2
 
 
 def variant_text(value: Column, depth: int = VARIANT_DEPTH) -> Column:
     """Text of a VARIANT by what it holds: as typed values have it, null as NULL."""
-    plain = F.try_variant_get(value, "$", "string")
     if not depth:
-        return plain
+        return F.try_variant_get(value, "$", "string")
+    # A one-element list binds the value, which the text names many times, to one evaluation.
+    return F.get(F.transform(F.array(value), lambda v: _text_by_kind(v, depth)), 0)
+
+
+def _text_by_kind(value: Column, depth: int) -> Column:
     kind = F.schema_of_variant(value)
 
     def inner(x: Column) -> Column:
@@ -52,7 +56,7 @@ def variant_text(value: Column, depth: int = VARIANT_DEPTH) -> Column:
         F.when(kind.startswith("ARRAY"), F.concat(F.lit("["), F.array_join(items, " "), F.lit("]")))
         .when(kind.startswith("OBJECT"), F.concat(F.lit("map["), F.array_join(shown, " "), F.lit("]")))
         .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), as_text(F.try_variant_get(value, "$", "double"), T.DoubleType()))
-        .otherwise(plain)
+        .otherwise(F.try_variant_get(value, "$", "string"))
     )
 
 

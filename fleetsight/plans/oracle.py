@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetsight.plans.views import FLAT_EVENT, HEARTBEAT_ROW, SIGNAL_ROW
+from fleetsight.plans.views import FLAT_EVENT, HEARTBEAT_ROW, OPEN_LINE, SIGNAL_ROW
 
 
 def _select(columns: dict[str, str], source: str) -> str:
@@ -32,6 +32,8 @@ N = (
     "launch_executable_path, detected, pid, parent_pid FROM t)"
 )
 BASE = f"{T}, {N}"
+OPEN = "o AS (" + _select(OPEN_LINE, "events") + ")"
+_TAGS = "concat('[a ', tries, ' 1.5]')"
 
 _UNSIGNED = "kind = 'execution' AND decision = 'DECISION_ALLOW' AND target_team = ''"
 _TCC = (
@@ -341,7 +343,51 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT r.rule_id, r.severity, count(h.rule_id) AS matches FROM (VALUES {all_rules}) r(rule_id, severity) "
         "LEFT JOIN hits h ON h.rule_id = r.rule_id GROUP BY 1, 2",
     )
-    sql["rule_isolation"] = _with(BASE, "SELECT event_id, 'GOOD' AS rule_id FROM n WHERE kind = 'file_access'")
+    sql["rule_isolation"] = _with(
+        BASE,
+        "SELECT event_id, rule_id, family FROM n, (VALUES ('GOOD'), ('PARTLY')) r(rule_id), "
+        "(VALUES ('rules'), ('correlations'), ('baselines')) f(family) "
+        "WHERE kind = 'file_access' AND (rule_id = 'GOOD' OR event_id % 2 = 1)",
+    )
+    sql["context_merge"] = _with(
+        BASE,
+        "SELECT event_id, rule_id, 'a' AS tag, CASE WHEN rule_id = 'ALL' THEN cast(event_id AS varchar) "
+        "WHEN event_id % 2 = 0 THEN 'changed' ELSE kind END AS c_kind, "
+        "CASE WHEN rule_id = 'FILES' THEN machine_id END AS c_machine_id, "
+        "CASE WHEN rule_id = 'FILES' THEN nullif(policy_name, '') END AS c_policy_name, "
+        "nullif(target_path, '') AS c_target_path, nullif(decision, '') AS c_decision, "
+        "CASE WHEN event_id % 6 = 0 THEN 'again' WHEN event_id % 3 = 0 THEN 'true' END AS c_first_seen, "
+        "CASE WHEN rule_id = 'RUNS' THEN kind END AS c_event_kind, "
+        "CASE WHEN rule_id = 'FILES' THEN nullif(policy_name, '') END AS c_file_policy, "
+        "CASE WHEN rule_id = 'RUNS' THEN args[1] END AS c_arg, "
+        "CASE WHEN rule_id = 'RUNS' THEN target_path END AS c_event_path "
+        "FROM n, (VALUES ('FILES', 'file_access'), ('RUNS', 'execution'), ('ALL', NULL)) r(rule_id, only_kind) "
+        "WHERE only_kind IS NULL OR only_kind = kind",
+    )
+    sql["open_kind_fields"] = _with(
+        OPEN,
+        f"SELECT event_seq AS event_id, kind, success, user_name, {_TAGS} AS tags, "
+        f"concat('map[name:', user_name, ' tags:', {_TAGS}, ']') AS user_text, '' AS note, '' AS missing, "
+        "CASE WHEN kind = 'authentication' THEN user_name END AS event_user FROM o",
+    )
+    sql["open_kind_signals"] = _with(
+        OPEN,
+        "SELECT event_seq AS event_id, 'AUTH' AS rule_id, user_name AS c_user, CASE WHEN tries <> '0' THEN 's' || tries END AS c_source, "
+        "NULL AS c_tags, tries AS c_event_tries, 'a' AS c_event_tag, kind AS c_kind FROM o "
+        "WHERE kind = 'authentication' AND success = 'false' UNION ALL "
+        f"SELECT event_seq, 'LOGIN', NULL, NULL, {_TAGS}, NULL, NULL, kind FROM o "
+        "WHERE kind = 'login_logout' AND cast(tries AS int) > 2",
+    )
+    failed = "kind = 'authentication' AND success = 'false'"
+    sql["open_kind_keys"] = _with(
+        OPEN,
+        f"SELECT event_seq AS event_id, 'FAILED' AS rule_id, concat('authentication.user.name=', user_name) AS key, '' AS value FROM o WHERE {failed} "
+        "UNION ALL SELECT event_seq, 'SOURCES', '_global', CASE WHEN tries = '0' THEN '' ELSE 's' || tries END FROM o WHERE kind = 'open_ssh' "
+        "UNION ALL SELECT NULL, 'FAILED-FIRES', concat('authentication.user.name=', user_name), '2' FROM "
+        f"(SELECT user_name, unnest(range(count(*) // 2)) FROM o WHERE {failed} GROUP BY machine_id, user_name) "
+        "UNION ALL SELECT event_seq, 'USERS', concat('screen_sharing.user.name=', user_name, '|screen_sharing.tries=', tries), '' "
+        "FROM o WHERE kind = 'screen_sharing'",
+    )
     sql["artifact_first_seen"] = _with(
         f"{BASE}, {HITS}",
         "SELECT signal_id, rule_id, target_sha256, CASE WHEN target_sha256 <> '' AND row_number() OVER "

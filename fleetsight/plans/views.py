@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.functions.times import ns_timestamp
-from fleetsight.schema import KINDS
+from fleetsight.schema import KINDS, OPEN_KINDS
 from fleetsight.session import pin_utc
 
 
@@ -235,6 +235,32 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Records of the kinds without typed fields, as JSON lines; every test row is one.
+OPEN_LINE = {
+    "event_seq": "event_id",
+    "kind": _cycle(1, _quoted(*OPEN_KINDS)),
+    "user_name": "concat('u', user_id % 7)",
+    "success": "CASE WHEN event_id % 3 = 0 THEN 'false' ELSE 'true' END",
+    "tries": "cast(event_id % 5 AS varchar(9))",
+    "machine_id": "concat('host-', user_id % 10)",
+    "event_time": "ts",
+}
+OPEN_BODY = (
+    """concat('{"success":', success, ',"tries":', tries, ',"user":{"name":"', user_name, '","tags":["a",', tries, """
+    """',1.50]},"note":null', CASE WHEN tries = '0' THEN '' ELSE ',"source":"s' || tries || '"' END, '}')"""
+)
+OPEN_STAMP = "2024-01-01T00:00:00Z"
+
+
+def open_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``value`` (a JSON line) and ``event_seq``; all at one time, which windows then count by group."""
+    rows = _project(table(spark, sf_dir, "events"), OPEN_LINE)
+    line = F.concat(
+        F.lit('{"machine_id":"'), "machine_id", F.lit(f'","event_time":"{OPEN_STAMP}","'), "kind", F.lit('":'), F.expr(OPEN_BODY), F.lit("}")
+    )
+    return rows.select("event_seq", line.alias("value"))
+
+
 def signal_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(table(spark, sf_dir, "orders"), SIGNAL_ROW)
 

@@ -16,9 +16,10 @@ from fleetsight.operators import first_seen, lineage, store
 from fleetsight.operators.correlate import correlation_events, correlate, windowed_counts, window_specs
 from fleetsight.operators.match import match, rule_table
 from fleetsight.operators.normalize import event_json, normalize
-from fleetsight.operators.signals import signals_from_baselines, signals_from_matches
+from fleetsight.operators.signals import as_signals, enrich, signals_from_baselines, signals_from_matches
 from fleetsight.plans import detect as plan
-from fleetsight.plans.views import flat_events, heartbeats, ntz, signal_store, table, telemetry
+from fleetsight.plans.views import flat_events, heartbeats, ntz, open_lines, signal_store, table, telemetry
+from fleetsight.schema import OPEN_KINDS
 from fleetsight.sources import ledger
 from fleetsight.sources.catalogue import (
     Catalogue,
@@ -28,7 +29,7 @@ from fleetsight.sources.catalogue import (
     load_rules,
 )
 from fleetsight.sources.frames import extract_frames
-from fleetsight.sources.telemetry import parse_lines
+from fleetsight.sources.telemetry import SOURCE, parse_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -335,15 +336,129 @@ def rule_match_counts(spark, sf_dir):
 
 @query
 def rule_isolation(spark, sf_dir):
-    """Predicates that fail on every event, beside one that holds on some."""
+    """Predicates that fail on some or all events, beside those that hold on some, in all three families."""
     ev = _events(spark, sf_dir)
     predicates = {
+        "OVERFLOW": "event_seq + 9223372036854775807 < 0", "NARROW": "cast(event_seq * 10000000000 AS int) < 0",
+        "ZERO": "element_at(decoded_args, cast(event_seq - event_seq AS int)) = 'x'", "PATTERN": "kind rlike concat('(', kind)",
+        "RAISED": "raise_error(kind) = 'x'", "MODULO": "event_seq % (event_seq - event_seq) = 0",
+        "PARTLY": "CASE WHEN event_seq % 2 = 0 THEN raise_error('odd') ELSE kind END = 'file_access'",
         "CAST": "cast(concat('x', kind) AS int) = 1", "INDEX": "decoded_args[500] = 'x'",
         "DIVIDE": "1 / (event_seq - event_seq) > 0", "GOOD": "kind = 'file_access'",
     }
     rules = [Row(id=name, expr=expr) for name, expr in predicates.items()]
     names = F.array(*[F.lit(r["id"]) for r in rules])
-    return match(ev, rules).select(F.col("event_seq").alias("event_id"), names[F.col("rule_idx")].alias("rule_id"))
+    simple = match(ev, rules).select(F.col("event_seq").alias("event_id"), names[F.col("rule_idx")].alias("rule_id"), F.lit("rules").alias("family"))
+    windows = [_correlation(name, expr=expr, window="5m", threshold=1) for name, expr in predicates.items()]
+    counted = correlation_events(ev, windows).select(
+        F.col("seq").alias("event_id"), names[F.col("rule_idx")].alias("rule_id"), F.lit("correlations").alias("family")
+    )
+    tracked = [_baseline(name, expr=expr, track=["kind"], learning_period="") for name, expr in predicates.items()]
+    patterns = first_seen.baseline_events(ev, tracked).select(F.col("event_seq").alias("event_id"), "rule_id", F.lit("baselines").alias("family"))
+    return simple.unionByName(counted).unionByName(patterns)
+
+
+@query
+def context_merge(spark, sf_dir):
+    """Contexts with members of one name from several sides, read back as values."""
+    ev = _events(spark, sf_dir)
+    base = {"title": "t", "description": "", "severity": "low", "tags": ["a"], "enabled": True, "include_process_tree": False}
+    rules = [
+        Row(**base, id="FILES", expr="kind = 'file_access'", include_event=False,
+            extra_context=["kind", "event.kind", "machine_id", "event.file_access.policy_name", "policy_name"]),
+        Row(**base, id="RUNS", expr="kind = 'execution'", include_event=True, extra_context=["execution.args", "event.execution.args", "kind"]),
+        Row(**base, id="ALL", expr="true", include_event=False, extra_context=[]),
+    ]
+    signals = enrich(signals_from_matches(match(ev, rules), rules), {
+        "kind": F.when(F.col("event_seq") % 2 == 0, F.lit("changed")),
+        "first_seen": F.when(F.col("event_seq") % 3 == 0, F.lit(True)),
+    })
+    signals = enrich(signals, {"first_seen": F.when(F.col("event_seq") % 6 == 0, F.lit("again"))})
+    # What another agent stored may have a name twice.
+    text = F.when(F.col("rule_id") != "ALL", F.col("context")).otherwise(
+        F.concat(F.substr("context", F.lit(1), F.length("context") - 1), F.lit(',"kind":"last","kind":'), F.col("event_seq").cast("string"), F.lit("}"))
+    )
+    stored = signals.select("signal_id", "rule_id", "event_seq", "status", F.to_json("tags").alias("tags"), text.alias("context"))
+    names = ["kind", "machine_id", "policy_name", "target_path", "decision", "first_seen", "event.kind"]
+    paths = {n: f"$['{n}']" for n in names} | {
+        "file_policy": "$['file_access.policy_name']", "arg": "$['execution.args'][0]", "event.kind": "$.event.kind",
+        "event_path": "$.event.execution.target.executable.path",
+    }
+    return store.parsed_signals(stored).select(
+        F.col("event_seq").alias("event_id"), "rule_id", F.col("tags")[0].alias("tag"),
+        *[F.try_variant_get("context", path, "string").alias("c_" + n.replace(".", "_")) for n, path in paths.items()],
+    )
+
+
+def _open_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = parse_lines(open_lines(spark, sf_dir).withColumn(SOURCE, F.lit("f")))
+    return normalize(records, args_encoding="text")
+
+
+@query
+def open_kind_fields(spark, sf_dir):
+    """Dotted paths into the blocks of every kind without typed fields."""
+    ev = _open_events(spark, sf_dir)
+
+    ev = ev.withColumn("block", F.coalesce(*OPEN_KINDS))
+
+    def at(path: str) -> Column:
+        return path_text(ev, f"event.block.{path}")
+
+    named = ("authentication", "login_logout", "open_ssh")  # by their own names, the others as the block that is set
+    own = F.concat(*[path_text(ev, f"event.{kind}.user.name") for kind in named])
+    by_kind = F.when(F.col("kind").isin(*named), own).otherwise(at("user.name"))
+    return ev.select(
+        F.col("event_seq").alias("event_id"), "kind", at("success").alias("success"), by_kind.alias("user_name"),
+        at("user.tags").alias("tags"), at("user").alias("user_text"), at("note").alias("note"), at("none.such").alias("missing"),
+        F.get_json_object(event_json(ev), "$.authentication.user.name").alias("event_user"),
+    )
+
+
+@query
+def open_kind_signals(spark, sf_dir):
+    """Simple rules over logins and authentications, with extra paths and whole events."""
+    ev = _open_events(spark, sf_dir)
+    base = {"title": "t", "description": "", "severity": "low", "tags": [], "enabled": True, "include_process_tree": False}
+    rules = [
+        Row(**base, id="AUTH", expr="NOT try_variant_get(authentication, '$.success', 'boolean')", include_event=True,
+            extra_context=["event.authentication.user.name", "event.authentication.source"]),
+        Row(**base, id="LOGIN", expr="kind = 'login_logout' AND try_variant_get(login_logout, '$.tries', 'int') > 2", include_event=False,
+            extra_context=["login_logout.user.tags"]),
+    ]
+    signals = as_signals(signals_from_matches(match(ev, rules), rules))
+    paths = {
+        "user": "$['authentication.user.name']", "source": "$['authentication.source']", "tags": "$['login_logout.user.tags']",
+        "event_tries": "$.event.authentication.tries", "event_tag": "$.event.authentication.user.tags[0]", "kind": "$.kind",
+    }
+    return signals.select(
+        F.col("source_seq").alias("event_id"), "rule_id",
+        *[F.get_json_object("context", path).alias("c_" + n) for n, path in paths.items()],
+    )
+
+
+@query
+def open_kind_keys(spark, sf_dir):
+    """Groups, counted values and patterns read from such blocks, and the fires of their windows."""
+    ev = _open_events(spark, sf_dir)
+    windows = [
+        _correlation("FAILED", expr="NOT try_variant_get(authentication, '$.success', 'boolean')", window="5m", threshold=2,
+                     group_by=["event.authentication.user.name"]),
+        _correlation("SOURCES", expr="kind = 'open_ssh'", window="5m", threshold=3, count_distinct="open_ssh.source"),
+    ]
+    names = F.array(*[F.lit(r["id"]) for r in windows])
+    counted = correlation_events(ev, windows).select(
+        F.col("seq").alias("event_id"), names[F.col("rule_idx")].alias("rule_id"), F.col("group_key").alias("key"), "value"
+    )
+    fired = correlate(ev, windows).select(
+        F.lit(None).cast("bigint").alias("event_id"), F.concat(names[F.col("rule_idx")], F.lit("-FIRES")).alias("rule_id"),
+        F.col("group_key").alias("key"), F.col("event_count").cast("string").alias("value"),
+    ).where("rule_id = 'FAILED-FIRES'")
+    tracked = [_baseline("USERS", expr="kind = 'screen_sharing'", track=["screen_sharing.user.name", "screen_sharing.tries"], learning_period="")]
+    patterns = first_seen.baseline_events(ev, tracked).select(
+        F.col("event_seq").alias("event_id"), "rule_id", F.col("pattern").alias("key"), F.lit("").alias("value")
+    )
+    return counted.unionByName(fired).unionByName(patterns)
 
 
 @query
