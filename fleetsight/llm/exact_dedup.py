@@ -19,13 +19,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.common import SPACE_CLASS, stored
+from fleetsight.llm.common import SPACE_CLASS, numbered, stored, texts_of
 
 #: Code points in a block. A parameter.
 BLOCK = 1024
-# A name has the input split, the row in it and the place of a block: 20, 24 and 19 bits.
-_SPLIT_BITS, _ROW_BITS, _PLACE_BITS = 20, 24, 19
-_SCAN_BITS = 33
+# A name has the number of a row and the place of a block in its text.
+_ROW_BITS, _PLACE_BITS = 44, 19
 #: Stands for the missing right half of an odd end; no name is negative.
 _NONE = -1
 
@@ -35,20 +34,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", " ")
 
 
-def _row_number() -> Column:
-    """A number for each row of a scan; fails, instead of wrapping, where the bits don't suffice."""
-    scan = F.monotonically_increasing_id()
-
-    def packed(n: Column) -> Column:
-        split, row = F.shiftright(n, _SCAN_BITS), n.bitwiseAND((1 << _SCAN_BITS) - 1)
-        fits = (split < (1 << _SPLIT_BITS)) & (row < (1 << _ROW_BITS))
-        return F.when(fits, F.shiftleft(split, _ROW_BITS) + row).otherwise(
-            F.raise_error(F.lit("too many rows or input splits to number")).cast("long")
-        )
-
-    return packed(scan)
-
-
 def _blocks(text: Column, block: int) -> Column:
     """The text in blocks, in one pass; an empty text is one empty block."""
     cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
@@ -79,10 +64,13 @@ def _paired(level: DataFrame) -> DataFrame:
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): row, doc_id, text_sha256, and its text's identity (level, name).
 
-    ``row`` numbers the rows of the scan, because ids may repeat or be null; ``docs`` should be a
-    table that gives the same rows in the same splits each time.
+    ``row`` numbers the rows, because ids may repeat or be null.
     """
-    texts = docs.select(_row_number().alias("row"), F.col("doc_id").cast("long"), normalised(F.col("text")).alias("text"))
+    return _identities(numbered(docs, _ROW_BITS), block)
+
+
+def _identities(base: DataFrame, block: int) -> DataFrame:
+    texts = texts_of(base).withColumn("text", normalised(F.col("text")))
     blocks = texts.select(
         "row", "doc_id", F.sha2("text", 256).alias("sha"), _blocks(F.col("text"), block).alias("cut"),
     ).select("row", "doc_id", "sha", F.size("cut").alias("n"), F.posexplode("cut").alias("place", "block"))
@@ -117,7 +105,11 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     keep_id is null then. Null texts equal empty ones. An empty table gives no rows. Only doc_id and
     text are read, so other columns may have any names.
     """
-    found = identities(docs, block)
+    return _duplicates(numbered(docs, _ROW_BITS), block)
+
+
+def _duplicates(base: DataFrame, block: int) -> DataFrame:
+    found = _identities(base, block)
     last = F.lit((1 << 63) - 1)
     groups = (
         found.groupBy("level", "name")
@@ -134,11 +126,10 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. ``docs`` should be a table's scan."""
-    columns = docs.columns
-    dropped = exact_duplicates(docs, block).where("NOT kept").select("row")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"), _row_number().alias("row"))
-    return whole.join(dropped, "row", "left_anti").select("whole.*")
+    """The rows of ``docs`` that stay, with all their columns."""
+    base = numbered(docs, _ROW_BITS)
+    dropped = _duplicates(base, block).where("NOT kept").select("row")
+    return base.join(dropped, "row", "left_anti").select("whole.*")
 
 
 ORACLE_SQL = r"""

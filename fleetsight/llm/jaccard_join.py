@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.common import broadcast_within, stored
+from fleetsight.llm.common import broadcast_within, numbered, stored, texts_of
 from fleetsight.llm.components import components
 
 WORDS = 5
@@ -45,9 +45,10 @@ RANGES = 128
 _MOST = 127
 #: Stars go on while at least one in so many of their pairs links.
 STAR_YIELD = 10
-#: Rows up to which a table of tokens, or of sets, is broadcast (about 16 MB each); larger ones are shuffled.
-BROADCAST_TOKENS = 1_000_000
-BROADCAST_SETS = 200_000
+#: Bytes up to which the numbers of wanted sets are broadcast, so that whole texts need no shuffle. Tables of
+#: tokens are broadcast as far as the session lets joins do so.
+BROADCAST_SETS = 16 << 20
+_TOKEN_BYTES, _SET_BYTES = 16, 48
 _ROWS = 256
 #: Sets in a block, about; two blocks are in memory at once.
 BLOCK = 128
@@ -266,13 +267,11 @@ def _same_ranges(percent: int, x: Column, y: Column, n: Column, m: Column) -> Co
 class _Join:
     """One run of the join, with the tables that its steps share."""
 
-    def __init__(self, docs: DataFrame, words: int, percent: int, sketch_bits: int):
+    def __init__(self, base: DataFrame, words: int, percent: int, sketch_bits: int):
         if not 0 < percent <= 100 or words < 1:
             raise ValueError("percent is over 0 and at most 100, and a shingle has a word at least")
         self.words, self.percent = words, percent
-        self.texts = docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")
-        )
+        self.texts = texts_of(base)
         both = stored(self.texts.mapInArrow(functools.partial(_profiles, words, sketch_bits), _PROFILE))
         self.documents = both.where("cell IS NULL").select("row", "doc_id", "n", "sig", "ranges")
         self.vertices = stored(
@@ -285,7 +284,7 @@ class _Join:
         cells = both.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen"))
         for cell, seen in cells.collect():  # a fixed number of cells, whatever the input
             sketch[cell] = seen
-        shared = docs.sparkSession.sparkContext.broadcast(sketch)
+        shared = base.sparkSession.sparkContext.broadcast(sketch)
         prefixes = stored(
             self.texts.select("text").mapInArrow(functools.partial(_prefixes, words, percent, shared), _PREFIX)
         )
@@ -295,8 +294,8 @@ class _Join:
             .agg(F.min(F.xxhash64("sig")).alias("low"), F.max(F.xxhash64("sig")).alias("high"))
             .where("low <> high").select("t")
         )
-        held = prefixes.join(broadcast_within(common, BROADCAST_TOKENS), F.col("token") == F.col("t")).drop("t")
-        rows = stored(held.dropDuplicates(["token", "sig"]))
+        held = prefixes.join(broadcast_within(common, _TOKEN_BYTES), F.col("token") == F.col("t")).drop("t")
+        rows = self.merged(stored(held.dropDuplicates(["token", "sig"])))
         degrees = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).withColumnRenamed("sig", "s")
         # A set whose whole prefix is shared is likely in the middle of its group.
         self.rows = stored(
@@ -304,6 +303,18 @@ class _Join:
             .select("token", "sig", "n", "place", (F.col("held") / F.col("slots")).alias("weight"))
         )
 
+    @staticmethod
+    def merged(rows: DataFrame) -> DataFrame:
+        """One shingle for all that the same sets hold: each of them gives the same pairs.
+
+        Members are told by their number and two 64-bit sums over hashes of their 128-bit identities.
+        """
+        sums = rows.groupBy("token").agg(
+            F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sig").cast("decimal(38,0)")).alias("y")
+        )
+        kept = stored(sums.groupBy("members", "x", "y").agg(F.min("token").alias("t")).select("t"))
+        return stored(rows.join(broadcast_within(kept, _TOKEN_BYTES), F.col("token") == F.col("t")).drop("t"))
+
     def stars(self, rows: DataFrame, number: int) -> DataFrame:
         """Pairs of each shingle's leader with its other members; another leader in each round."""
         rank = F.col("weight") if number == 0 else F.xxhash64(F.lit(number), "comp").cast("double")
@@ -344,7 +355,7 @@ class _Join:
         wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
         wanted = stored(wanted.join(self.vertices.select("sig", "row"), "sig"))
         sets = stored(
-            self.texts.select("row", "text").join(broadcast_within(wanted, BROADCAST_SETS), "row").select("sig", "text")
+            self.texts.select("row", "text").join(broadcast_within(wanted, _SET_BYTES, BROADCAST_SETS), "row").select("sig", "text")
             .mapInArrow(functools.partial(_sets, self.words), "sig binary, shingles binary")
         )
         both = (
@@ -395,7 +406,7 @@ class _Join:
         )
         numbers = wanted.select("sig", "row")
         sets = stored(
-            self.texts.select("row", "text").join(broadcast_within(numbers, BROADCAST_SETS), "row").select("sig", "text")
+            self.texts.select("row", "text").join(broadcast_within(numbers, _SET_BYTES, BROADCAST_SETS), "row").select("sig", "text")
             .mapInArrow(functools.partial(_sets, self.words), "sig binary, shingles binary")
         )
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -417,11 +428,15 @@ def jaccard_components(
     Documents link when their shingle sets have at least ``percent`` hundredths of the union in common.
     component_id is the smallest doc_id that links reach; ``first`` marks one row per component, with
     that id. n_links is the number of other rows that link with this one, copies included. Null, empty and blank texts have no shingles and link with nothing: their component is
-    their own id. Rows with equal ids count each for itself; null ids are larger than all others. An
-    empty table gives no rows. Only doc_id and text are read. ``docs`` should be a table's scan, which
-    gives the same rows in the same splits each time.
+    their own id. Very long texts are sets like others, of as many shingles as they have. Rows with equal ids
+    count each for itself; null ids are larger than all others. An empty table gives no rows. Only doc_id
+    and text are read.
     """
-    join = _Join(docs, words, percent, sketch_bits)
+    return _components(numbered(docs), words, percent, sketch_bits, count_links)
+
+
+def _components(base: DataFrame, words: int, percent: int, sketch_bits: int, count_links: bool) -> DataFrame:
+    join = _Join(base, words, percent, sketch_bits)
     _, roots = join.links()
     placed = join.vertices.join(roots, F.col("sig") == F.col("vertex"), "left").select(
         "sig", "doc_id", "row", F.coalesce("root", "sig").alias("root")
@@ -446,9 +461,6 @@ def jaccard_components(
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, with all their columns."""
-    columns = docs.columns
-    gone = jaccard_components(docs, words, percent).where("NOT first").select("row")
-    whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"), F.monotonically_increasing_id().alias("row")
-    )
-    return whole.join(gone, "row", "left_anti").select("whole.*")
+    base = numbered(docs)
+    gone = _components(base, words, percent, SKETCH_BITS, False).where("NOT first").select("row")
+    return base.join(gone, "row", "left_anti").select("whole.*")

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm.common import ascii_lower, shared_folder, stored, trimmed
+from fleetsight.llm.common import ascii_lower, numbered, shared_folder, stored, texts_of, trimmed
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -131,19 +131,16 @@ def dedup_lines(
     documents go everywhere but in the largest doc_id that holds them. Null and empty texts are one
     empty line. A null doc_id counts as smaller than all others, and rows with equal ids as
     documents of their own that keep the same lines. An empty table gives no rows. Only doc_id
-    and text are read. ``docs`` should be a table's scan, which gives the same rows in the same
-    splits each time.
+    and text are read.
     """
     spark = docs.sparkSession
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")
-    )
+    texts = texts_of(numbered(docs))
     lowest = F.lit(-(1 << 63))
-    by_line = numbered.select(
+    by_line = texts.select(
         "row", F.coalesce("doc_id", lowest).alias("doc_id"), F.explode(_keyed(_lines(F.col("text")), min_chars)).alias("line")
     ).select("row", "doc_id", "line.*")
     shares = [k / batches for k in range(1, batches)]
-    cuts = numbered.approxQuantile("doc_id", shares, 0.01) if shares else []
+    cuts = texts.approxQuantile("doc_id", shares, 0.01) if shares else []
     # Larger ids first: what is settled by them needs no more of the smaller ones.
     batch = sum((F.col("doc_id") <= c).cast("int") for c in cuts) if cuts else F.lit(0)
     path = shared_folder(spark)
@@ -164,7 +161,7 @@ def dedup_lines(
     lines = _lines(F.col("text"))
     kept_places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
     return (
-        numbered.join(gone, "row", "left")
+        texts.join(gone, "row", "left")
         .withColumn("lines", lines)
         .select(
             "doc_id",

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.common import broadcast_within, stored
+from fleetsight.llm.common import broadcast_within, numbered, stored, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents at chance level that count beside those with a term.
@@ -41,8 +41,9 @@ REMOVE_FROM = 0.95
 PLACEHOLDERS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
 _TERM_KIND = len(KINDS)
 _ROWS = 512
-#: Copies up to which their row numbers are broadcast (about 16 MB); more are shuffled.
-BROADCAST_COPIES = 1_000_000
+#: Bytes up to which row numbers of copies are broadcast, so that whole texts need no shuffle.
+BROADCAST_COPIES = 16 << 20
+_ROW_BYTES = 16
 
 # Fixed forms. All run in one pass: what repeats is possessive, or starts at an anchor that occurs once.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -129,15 +130,9 @@ def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")
-    )
-
-
-def find_spans(docs: DataFrame) -> DataFrame:
-    """row, doc_id, identity of the text, base spans and terms, for each row of ``docs`` (doc_id, text)."""
-    return stored(_numbered(docs).mapInArrow(_found, _FOUND))
+def find_spans(base: DataFrame) -> DataFrame:
+    """row, doc_id, identity of the text, base spans and terms, for each of the numbered documents."""
+    return stored(texts_of(base).mapInArrow(_found, _FOUND))
 
 
 def _share(n_te: Column, n_t: Column, n_e: Column, total: int) -> Column:
@@ -146,7 +141,7 @@ def _share(n_te: Column, n_t: Column, n_e: Column, total: int) -> Column:
     return F.log2(by_term * total / n_e) / F.log2(F.greatest(total / n_e, F.lit(1.0001)))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing_terms(base: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(copy, term, share): terms of a text that disclose at least ``disclosure`` of an entity in it, and the most they do.
 
     A term that is found in fewer documents than beside the entity counts as often as the latter.
@@ -154,7 +149,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISC
     firsts = stored(found.groupBy("copy").agg(F.min("row").alias("first")).select("first"))
     total = firsts.count()
     again = stored(found.select("row").join(firsts, F.col("row") == F.col("first"), "left_anti"))
-    once = _numbered(docs).join(broadcast_within(again, BROADCAST_COPIES), "row", "left_anti")
+    once = texts_of(base).join(broadcast_within(again, _ROW_BYTES, BROADCAST_COPIES), "row", "left_anti")
     found_words = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}]{3,}"), F.lit(0)), F.lower)
     by_word = once.select(F.explode(F.array_distinct(found_words)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
 
@@ -187,12 +182,15 @@ def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): row, doc_id and spans (start, kind, stop, share), in order.
 
     Base spans are 0 to 3 by kind and have no share; terms are 4. Null texts count as empty; rows
-    with equal or null ids count each for itself; an empty table gives no rows. Only doc_id and
-    text are read. ``docs`` should be a table's scan, which gives the same rows in the same splits
-    each time.
+    with equal or null ids count each for itself; an empty table gives no rows. Very long texts are
+    searched whole; the terms of one are one row. Only doc_id and text are read.
     """
-    found = find_spans(docs)
-    telling = disclosing_terms(docs, found, disclosure).withColumnsRenamed({"copy": "c", "term": "telling"})
+    return _spans(numbered(docs), disclosure)
+
+
+def _spans(base: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    found = find_spans(base)
+    telling = disclosing_terms(base, found, disclosure).withColumnsRenamed({"copy": "c", "term": "telling"})
     terms = (
         found.select("row", "copy", F.explode("terms").alias("t"))
         .select("row", "copy", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.lower("t.term").alias("term"))
@@ -245,10 +243,8 @@ def sanitise(docs: DataFrame, **settings) -> DataFrame:
     ``n_chars``, where there is such a column, counts the code points of the new text; a null text stays null.
     """
     columns = docs.columns
-    spans = all_spans(docs, **settings).where(F.size("spans") > 0).select("row", "spans")
-    whole = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole")
-    )
+    whole = numbered(docs)
+    spans = _spans(whole, **settings).where(F.size("spans") > 0).select("row", "spans")
     touched = whole.join(spans, "row")
     cleaned = touched.select("row", F.col("whole.text").cast("string").alias("text"), "spans").mapInArrow(
         _sanitised, "row long, text string"

@@ -72,7 +72,8 @@ class Codec:
             self.bytes_of[i] = special[i].encode() if i in special else bytes(back[ord(c)] for c in token)
         self.special = set(special)
         self.sizes = np.array([len(b) for b in self.bytes_of])
-        self.runs = Memory(self._run)
+        self.decimals = [b"%d," % i for i in range(self.tokenizer.get_vocab_size())]
+        self.runs, self.pieces = Memory(self._run), Memory(self._pieces)
 
     def _run(self, run: str) -> tuple[int, bytes, bytes]:
         """Number of ids, the ids as decimals with a comma after each, and the decoded bytes."""
@@ -90,7 +91,19 @@ class Codec:
             hashlib.sha256(b"".join([f[2] for f in found])).hexdigest(),
         )
 
+    def _pieces(self, run: str) -> tuple[bytes, bytes]:
+        """Ids of a run, and which of them begin a piece."""
+        done = self._encode_whole(run)
+        return done.ids.tobytes(), done.begins.tobytes()
+
     def encode(self, text: str) -> Encoded:
+        if _OTHER_SPACE.search(text):
+            return self._encode_whole(text)
+        found = [self.pieces[run] for run in _RUN.findall(text)]
+        ids = np.frombuffer(b"".join([f[0] for f in found]), np.uint32)
+        return Encoded(ids, np.frombuffer(b"".join([f[1] for f in found]), bool))
+
+    def _encode_whole(self, text: str) -> Encoded:
         done = self.tokenizer.encode(text, add_special_tokens=False)
         ids = np.array(done.ids, dtype=np.uint32)
         if not len(ids):
@@ -107,6 +120,12 @@ class Codec:
     def decode(self, ids: np.ndarray) -> str:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """ids_sha256 and decoded_sha256. What whole texts decode to are the bytes of their tokens."""
+        numbers = ids.tolist()
+        listed = b"".join(map(self.decimals.__getitem__, numbers))[:-1]
+        return hashlib.sha256(listed).hexdigest(), hashlib.sha256(b"".join(map(self.bytes_of.__getitem__, numbers))).hexdigest()
+
     def _bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
@@ -232,9 +251,7 @@ def _concatenated(path: str, table: pa.Table) -> pa.Table:
         numbers = np.frombuffer(ids, np.uint32)
         parts.append(Encoded(numbers, np.unpackbits(np.frombuffer(begins, np.uint8), count=len(numbers)).astype(bool)))
     whole = own.concatenate(parts).ids
-    digest = hashlib.sha256(",".join(map(str, whole.tolist())).encode()).hexdigest()
-    decoded = hashlib.sha256(own.decode(whole).encode()).hexdigest()
-    return pa.Table.from_batches([_batch([(table.column("doc_id")[0].as_py(), len(whole), digest, decoded)])])
+    return pa.Table.from_batches([_batch([(table.column("doc_id")[0].as_py(), len(whole), *own.digests(whole))])])
 
 
 def encode_documents(docs: DataFrame, leaf: int = LEAF, vocabulary: str | None = None) -> DataFrame:

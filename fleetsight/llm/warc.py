@@ -4,7 +4,7 @@ Writing. A record is text as long as its payload is, so Spark's own text writer
 any file system: one row per record, with the blank line that ends a record as line separator.
 Equal payloads are stored once; the others are revisit records that name the response.
 
-Reading. Archives hold a bounded number of records each and are read whole, one per row, and cut
+Reading. Archives hold a bounded number of records and bytes each and are read whole, one per row, and cut
 by Content-Length; no payload can be taken for a record's end.
 
 Index. Each archive gives a run of captures sorted by URL key and timestamp. The runs are dealt out by
@@ -25,10 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.common import bind, shared_folder, stored
+from fleetsight.llm.common import bind, broadcast_within, numbered, shared_folder, stored
 
-#: Records in an archive. A parameter; bounds the memory of a reading task.
+#: Records in an archive of short pages. A parameter.
 RECORDS_PER_FILE = 2000
+#: Payloads up to so many bytes go to archives of 2000 or 32 records, longer ones to archives of their own, so that
+#: an archive, which a reading task holds, has 256 MB, or one record.
+SHORT_BYTES, MIDDLE_BYTES, MIDDLE_PER_FILE = 128 << 10, 8 << 20, 32
+#: Bytes up to which shared digests are broadcast, so that payloads need no shuffle; and those of one.
+BROADCAST_DIGESTS, _DIGEST_BYTES = 16 << 20, 96
 _END = "\r\n\r\n"
 # The alphabet of base-32 digests and names of the archive format.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -57,12 +62,12 @@ def payload_digest(payload: Column) -> Column:
 
 def _with_types(pages: DataFrame, least_bytes: int) -> DataFrame:
     """Adds digest, size and, for revisits, the page whose record has the payload."""
-    bare = pages.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+    bare = numbered(pages).select(
+        "row", F.col("whole.page_id").cast("long").alias("page_id"), F.col("whole.url").cast("string").alias("url"),
+        F.coalesce(F.col("whole.html").cast("string"), F.lit("")).alias("html"), "whole.captured",
     ).withColumns({"payload_digest": payload_digest(F.col("html")), "payload_bytes": F.octet_length("html").cast("long")})
     # Of several rows with the largest id the first of the scan is the response; a null id is smaller than all.
-    shared = (
+    shared = stored(
         bare.where(F.col("payload_bytes") >= least_bytes)
         .groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
         .agg(F.max(F.struct(F.col("page_id"), (-F.col("row")).alias("r"))).alias("best"), F.count(F.lit(1)).alias("n"))
@@ -70,8 +75,8 @@ def _with_types(pages: DataFrame, least_bytes: int) -> DataFrame:
     )
     same = (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b"))
     is_revisit = F.col("best").isNotNull() & (F.col("row") != -F.col("best.r"))
-    return bare.join(shared, same, "left").select(
-        "page_id", "url", "html", "payload_digest", "payload_bytes",
+    return bare.join(broadcast_within(shared, _DIGEST_BYTES, BROADCAST_DIGESTS), same, "left").select(
+        "page_id", "url", "html", "payload_digest", "payload_bytes", "captured",
         F.when(is_revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(is_revisit, F.col("best.page_id")).alias("refers_to"),
     )
@@ -114,10 +119,17 @@ def write_archives(
     null html is an empty payload; a null page_id or url leaves its header out. Without ``captured``
     (a timestamp) the date counts seconds by page_id from a fixed day. Other columns are not read.
     """
-    typed = _with_types(pages.select("page_id", "url", "html") if captured is None else pages, least_bytes)
-    seconds = F.lit(_FIRST_CAPTURE) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 31))
+    seconds = F.lit(_FIRST_CAPTURE) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 31))
     when = F.timestamp_seconds(seconds) if captured is None else captured
-    typed.select(_record(when).alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(folder)
+    typed = _with_types(pages.select("page_id", "url", "html", when.alias("captured")), least_bytes)
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+    longest = pages.agg(F.max(size)).first()[0] or 0
+    classes = [(-1, SHORT_BYTES, per_file), (SHORT_BYTES, MIDDLE_BYTES, min(per_file, MIDDLE_PER_FILE)), (MIDDLE_BYTES, longest, 1)]
+    for over, most, records in classes:
+        if over < longest:
+            some = typed.where((F.col("payload_bytes") > over) & (F.col("payload_bytes") <= most))
+            rows = some.select(_record(F.col("captured")).alias("value"))
+            rows.write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", records).text(folder)
 
 
 _NUMBER = re.compile(r"<urn:page:(-?\d+)>")
@@ -261,7 +273,8 @@ def merged_index(records: DataFrame, ranges: int | None = None) -> DataFrame:
 def archive_pages(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Writes ``pages`` to archives, reads them back and merges their index.
 
-    One row per row of ``pages``, in global order of URL key and timestamp. An empty table gives no rows.
+    One row per row of ``pages``, in global order of URL key and timestamp; equal rows are records of their
+    own. A null html is an empty payload. A page of up to 2 GB is one archive. An empty table gives no rows.
     """
     spark = pages.sparkSession
     folder = folder or shared_folder(spark)

@@ -120,3 +120,41 @@ def test_chains_become_one_component(spark):
     df = spark.createDataFrame(chain, "a long, b long")
     got = {r.vertex: r.root for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 103: 100}
+
+
+def test_rows_keep_their_numbers_however_a_scan_is_split(spark, docs, tmp_path):
+    from fleetsight.llm.common import numbered
+
+    path = str(tmp_path / "d")
+    docs.withColumn("row", F.lit("x")).repartition(3).write.option("parquet.block.size", 1024).parquet(path)
+
+    def rows():
+        base = numbered(spark.read.parquet(path))
+        return sorted((r.row, r.whole.row, repr(r.whole.doc_id), r.whole.text or "") for r in base.collect())
+
+    first = rows()
+    assert len({r[0] for r in first}) == docs.count()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert rows() == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # Rows that are no scan are written once.
+    assert sorted(r.row for r in numbered(docs.distinct()).collect()) == sorted({r.row for r in numbered(docs.distinct()).collect()})
+
+
+def test_stored_tables_go_but_for_those_that_are_read(spark):
+    from fleetsight.llm import common
+
+    old, read = common.stored(spark.range(3)), common.stored(spark.range(5))
+    common.clear_stored(read.where("id > 1"))
+    assert read.count() == 5
+    with pytest.raises(Exception):
+        old.count()
+
+
+def test_shingles_of_the_same_sets_are_merged(spark):
+    rows = [(t, bytes([s])) for t, sets in {1: [1, 2], 2: [1, 2], 3: [1, 3], 4: [1, 2, 3], 5: [2, 1]}.items() for s in sets]
+    merged = jaccard_join._Join.merged(spark.createDataFrame(rows, "token long, sig binary"))
+    assert {r.token for r in merged.collect()} == {1, 3, 4}
