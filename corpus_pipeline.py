@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetsight.llm import exact_dedup, jaccard_join, packing, pii, quality_rules
-from fleetsight.llm.common import source, stored
+from fleetsight.llm.common import clear_stored, source, stored
+
+# Every stage reads what the one before it has written, so at its start it removes what that one had
+# stored for itself.
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,21 +22,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id."""
+    clear_stored(docs)
     return exact_dedup.distinct_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the smallest doc_id; five words, similarity of 0.8."""
+    clear_stored(docs)
     return jaccard_join.one_of_each(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are replaced; every document stays."""
+    clear_stored(docs)
     return pii.sanitise(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences."""
+    clear_stored(docs)
     return packing.pack_documents(docs)
 
 
