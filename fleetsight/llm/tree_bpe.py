@@ -40,6 +40,8 @@ _FIRST_WINDOW = 8
 #: Pieces of more tokens are joined by windows of tokens.
 _LONG_PIECE = 64
 _RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+# A run that splitting leaves whole, so that merges alone encode it.
+_ONE_PIECE = re.compile(r" ?[A-Za-z]+")
 # White space other than space and line feed, and what some count as such.
 _OTHER_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 
@@ -63,6 +65,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
+        self.model = self.tokenizer.model
         letters = byte_letters()
         back = {letter: byte for byte, letter in letters.items()}
         self.letters = letters
@@ -71,15 +74,20 @@ class Codec:
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = special[i].encode() if i in special else bytes(back[ord(c)] for c in token)
         self.special = set(special)
+        self.is_special = np.zeros(len(self.bytes_of), bool)
+        self.is_special[list(special)] = True
         self.sizes = np.array([len(b) for b in self.bytes_of])
         self.decimals = [b"%d," % i for i in range(self.tokenizer.get_vocab_size())]
-        self.runs, self.pieces = Memory(self._run), Memory(self._pieces)
+        self.runs = Memory(self._run)
 
     def _run(self, run: str) -> tuple[int, bytes, bytes]:
         """Number of ids, the ids as decimals with a comma after each, and the decoded bytes."""
-        ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        decoded = self.tokenizer.decode(ids, skip_special_tokens=False).encode()
-        return len(ids), b"".join(b"%d," % i for i in ids), decoded
+        if _ONE_PIECE.fullmatch(run):
+            ids = [t.id for t in self.model.tokenize(run.translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(run, add_special_tokens=False).ids
+        # What whole runs decode to are the bytes of their tokens.
+        return len(ids), b"".join(map(self.decimals.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """n_tokens, ids_sha256 and decoded_sha256 of a short text."""
@@ -91,28 +99,19 @@ class Codec:
             hashlib.sha256(b"".join([f[2] for f in found])).hexdigest(),
         )
 
-    def _pieces(self, run: str) -> tuple[bytes, bytes]:
-        """Ids of a run, and which of them begin a piece."""
-        done = self._encode_whole(run)
-        return done.ids.tobytes(), done.begins.tobytes()
-
     def encode(self, text: str) -> Encoded:
-        if _OTHER_SPACE.search(text):
-            return self._encode_whole(text)
-        found = [self.pieces[run] for run in _RUN.findall(text)]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), np.uint32)
-        return Encoded(ids, np.frombuffer(b"".join([f[1] for f in found]), bool))
-
-    def _encode_whole(self, text: str) -> Encoded:
         done = self.tokenizer.encode(text, add_special_tokens=False)
         ids = np.array(done.ids, dtype=np.uint32)
         if not len(ids):
             return Encoded(ids, np.zeros(0, bool))
-        words = np.array([-1 if w is None else w for w in done.word_ids])
+        try:
+            words = np.array(done.word_ids, dtype=np.int64)
+        except TypeError:  # a special token has none
+            words = np.array([-1 if w is None else w for w in done.word_ids])
         begins = np.ones(len(ids), bool)
         begins[1:] = words[1:] != words[:-1]
         # Special tokens are pieces of their own, and piece numbers begin anew after them.
-        alone = np.isin(ids, list(self.special))
+        alone = self.is_special[ids]
         begins |= alone
         begins[1:] |= alone[:-1]
         return Encoded(ids, begins)
