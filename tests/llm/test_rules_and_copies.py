@@ -127,7 +127,7 @@ def test_runs_take_batches_in_any_order(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     df = QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
