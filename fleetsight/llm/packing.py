@@ -5,10 +5,14 @@ by free space, and a bitset has the free spaces that occur. An item goes to the
 best: the lowest set bit at or above its length. Where none can take it a new bin opens, and if
 too many are open the fullest closes first.
 
-Every task packs the documents of its own input split: nothing is shuffled, the work of a task is
-bounded by the split, and a lost task is simply run again with the same result. Items arrive in
-falling order of length, from Spark's spilling sort inside the task, because the long ones are
-then placed while everything small is still to come.
+Every task packs the documents of its own input split: the work of a task is bounded by the split,
+and a lost task is simply run again with the same result. Items arrive in falling order of length,
+from Spark's spilling sort inside the task, because the long ones are then placed while everything
+small is still to come.
+
+Bins that stay too empty, at the end of a split or because the bound closed them, are taken apart
+and their pieces packed once more by the same method, over all splits together. These are a few bins
+a split, so only their narrow rows are shuffled, into as many tasks as their number asks for.
 """
 
 from __future__ import annotations
@@ -24,11 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetsight.llm.common import broadcast_within, stored
 from fleetsight.llm.vocab import Memory, byte_letters, tokenizer, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
-OPEN_BINS = 65_536
+#: Open bins of a task, the bound of its memory. A split of some 100 MB can reach it.
+OPEN_BINS = 8_192
+#: A sequence that leaves more than this share of its capacity free is packed once more.
+LOOSE = 1 / 64
+#: Pieces that one task packs in the second round.
+PIECES_PER_TASK = 1 << 18
 #: Id that ends every document.
 END_ID = 0
 _ROWS = 512
@@ -151,17 +161,40 @@ def document_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str |
 
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Adds sequence_id and offset to pieces, task by task."""
-    falling = pieces.sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    falling = pieces.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
     return falling.mapInArrow(functools.partial(_packed, capacity, open_bins), _PLACED)
 
 
+def pack_loose_again(
+    placed: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK
+) -> DataFrame:
+    """``placed`` (a stored table of ``best_fit``) with the pieces of its loose sequences packed anew.
+
+    New sequences have negative numbers. Full sequences keep their numbers and places.
+    """
+    free = capacity - F.sum("length")
+    loose = stored(
+        placed.groupBy("sequence_id").agg(free.alias("free"), F.count(F.lit(1)).alias("pieces"))
+        .where(F.col("free") > capacity * LOOSE).select("sequence_id", "pieces")
+    )
+    pieces = loose.agg(F.coalesce(F.sum("pieces"), F.lit(0))).first()[0]
+    chosen = broadcast_within(loose.select("sequence_id"), 16)
+    # Dealt by number, not in turn, so that a task run again gets the same pieces.
+    apart = placed.join(chosen, "sequence_id", "left_semi").repartition(-(-pieces // pieces_per_task) or 1, "sequence_id")
+    anew = best_fit(apart.drop("sequence_id", "offset"), capacity, open_bins)
+    return placed.join(chosen, "sequence_id", "left_anti").unionByName(
+        anew.withColumn("sequence_id", -1 - F.col("sequence_id"))
+    ).select(*placed.columns)
+
+
 def pack_documents(
     docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, vocabulary: str | None = None
 ) -> DataFrame:
     """Packs all documents (doc_id, text; other columns are ignored).
 
-    Null and empty texts are the end id alone. A null doc_id stays null; repeated rows and repeated
-    ids are packed each for itself. An empty table gives no rows. Sequence numbers are unique, not
-    dense.
+    Null and empty texts are the end id alone; texts longer than ``capacity`` are cut into pieces of
+    that length, however long they are. A null doc_id stays null; repeated rows and repeated ids are
+    packed each for itself. Pieces of equal length come by doc_id and piece. An empty table gives no
+    rows. Sequence numbers are unique, not dense.
     """
-    return best_fit(document_pieces(docs, capacity, vocabulary), capacity, open_bins)
+    return pack_loose_again(stored(best_fit(document_pieces(docs, capacity, vocabulary), capacity, open_bins)), capacity, open_bins)
