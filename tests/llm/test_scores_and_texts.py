@@ -49,10 +49,41 @@ def test_scores_of_odd_rows(spark, docs, no_docs, score):
 def test_preferences_put_good_first():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 1, (200, 3)), rng.normal(-1, 1, (50, 3))
-    w, threshold = quality_ranking.fit_preferences(good, bad)
+    w = quality_ranking.fit_preferences(good, bad)
+    raw = np.concatenate((good, bad)) @ w
+    threshold = np.sort(raw)[49:51].mean()
     assert ((good @ w > threshold).mean() > 0.9) and ((bad @ w > threshold).mean() < 0.2)
-    # The threshold is the quantile that leaves the bad share below it.
-    assert (np.concatenate((good, bad)) @ w < threshold).sum() == 50
+
+
+def test_preferences_against_a_plain_solver():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.5, 1, (300, 4)), rng.normal(-0.5, 2, (80, 4))
+    both = np.concatenate((good, bad))
+    g, b = (good - both.mean(0)) / both.std(0), (bad - both.mean(0)) / both.std(0)
+    pairs = g[np.random.default_rng(0).integers(0, len(g), size=len(b) * quality_ranking.RIVALS)]
+    pairs = pairs - np.repeat(b, quality_ranking.RIVALS, axis=0)
+    w = np.zeros(4)
+    for _ in range(20_000):  # plain gradient descent on the mean logistic loss and the ridge
+        w += 0.1 * (pairs.T @ (1 / (1 + np.exp(pairs @ w))) / len(pairs) - quality_ranking._RIDGE * w)
+    assert np.allclose(quality_ranking.fit_preferences(good, bad), w / both.std(0), atol=1e-4)
+
+
+def test_the_quantile_is_that_of_all_documents(spark):
+    # Labels are half bad, and cover few documents; half of all documents must fall below the threshold.
+    rows = [(i, "one " * (3 + i % 97) + "#" * (i % 50)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 97 > 48)) for i in range(0, 400)], "doc_id long, label int")
+    share = sum(i % 97 <= 48 for i in range(400)) / 400
+    measured = quality_ranking.with_measures(docs)
+    found = quality_ranking.fit_ranking(measured, labels)
+    raw = sorted(r[0] for r in measured.select(found.raw()).collect())
+    at = int(np.ceil(share * len(raw))) - 1
+    upper = min(v for v in raw if v > raw[at])
+    assert np.isclose(np.log(0.7 / 0.3) - found.bias, (raw[at] + upper) / 2, atol=1e-9)
+    got = quality_ranking.rank_quality(docs, labels).collect()
+    assert sum(1 - r.predicted for r in got) == sum(v <= raw[at] for v in raw)
+    one = measured.where("doc_id = 5")
+    assert quality_ranking.score_quantile(one, found.raw(), 0.5) == one.select(found.raw()).first()[0]
 
 
 def test_swaps_take_weight_from_group_names():
@@ -217,6 +248,59 @@ def test_packing_of_odd_rows(docs, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 16, 64])
+def test_sequences_hardly_depend_on_the_splits(spark, parts):
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").repartition(parts, "doc_id")
+    got = packing.pack_documents(docs).collect()
+    least = -(-sum(r.length for r in got) // packing.CAPACITY)
+    assert least <= len({r.sequence_id for r in got}) <= 1.01 * least
+    filled = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= packing.CAPACITY
+
+
+def plain_best_fit(lengths, capacity, most):
+    """Each item to the open bin with the least sufficient space, found by looking at all of them."""
+    open_bins, placed, begun = {}, [], 0
+    for n in lengths:
+        fitting = [free for free in open_bins.values() if free >= n]
+        if fitting:
+            number = max(b for b, free in open_bins.items() if free == min(fitting))
+        else:
+            if len(open_bins) >= most:
+                fullest = min(open_bins.values())
+                del open_bins[max(b for b, free in open_bins.items() if free == fullest)]
+            number, open_bins[begun], begun = begun, capacity, begun + 1
+        placed.append(open_bins[number])
+        open_bins[number] -= n
+        if not open_bins[number]:
+            del open_bins[number]
+    return placed, begun
+
+
+def test_best_fit_against_a_plain_search():
+    rnd = random.Random(2)
+    for most in (1, 3, 10, 1000):
+        for _ in range(30):
+            lengths = [rnd.randint(1, 50) for _ in range(rnd.randint(1, 120))]
+            bins = packing.OpenBins(50, most)
+            got = [50 - bins.place(n)[1] for n in lengths]
+            assert (got, bins.begun) == plain_best_fit(lengths, 50, most)
+
+
+def test_bins_that_the_bound_closed_are_packed_again(spark):
+    rows = [(n, 0, 0, n, 0) for n in (9, 8, 7, 6, 4, 3, 2, 1)]
+    pieces = spark.createDataFrame(rows, packing._PIECES).repartition(8, "doc_id")
+    first = packing.stored(packing.best_fit(pieces, 10, 1))
+    packed = packing.pack_loose_again(first, 10, 8)
+    assert packed.select("sequence_id").distinct().count() == 4
+    assert sorted(tuple(r)[:5] for r in packed.collect()) == sorted(rows)
+    several = packing.pack_loose_again(first, 10, 8, pieces_per_task=3).collect()
+    assert sorted(tuple(r)[:5] for r in several) == sorted(rows)
+
+
 def test_the_fullest_bin_closes_first():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (7, 6, 4, 8, 3)] == [(0, 0), (1, 0), (1, 6), (2, 0), (0, 7)]
