@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from fleetsight.functions.predicates import kind_guard
+
 BROADCAST_RULES = 5_000
 PREDICATES_PER_ARRAY = 200
 
@@ -33,12 +35,15 @@ def match(df: DataFrame, rules: Sequence[Row]) -> DataFrame:
     """One output row per (event, rule) hit, with ``rule_idx`` in catalogue order.
 
     All predicates are evaluated in a single projection over a single scan; an event that meets
-    no rule is dropped by the filter Catalyst infers below the explode. A predicate that fails on an
-    event counts as not met there.
+    no rule is dropped by the filter Catalyst infers below the explode. Where every predicate asks for
+    certain kinds, others are not even read. A predicate that fails on an event counts as not met there.
     """
     require_ansi(df.sparkSession)
     if not rules:
         return df.withColumn("rule_idx", F.lit(0)).where(F.lit(False))
+    guard = kind_guard(df.sparkSession, [r["expr"] for r in rules])
+    if guard is not None:
+        df = df.where(guard)
     blocks = []
     for start in range(0, len(rules), PREDICATES_PER_ARRAY):
         block = rules[start : start + PREDICATES_PER_ARRAY]

@@ -21,6 +21,9 @@ from fleetsight.schema import ENUMS, KINDS, UNKNOWN_KIND
 UNSET_MODE = "MODE_UNKNOWN"
 UNSET_REASON = "REASON_UNKNOWN"
 
+#: When a record came in, for those that have no time of their own.
+INGEST_TIME = "ingest_time"
+
 
 def kind_of(df: DataFrame) -> Column:
     """The kind whose block is set, ``unknown`` when none is."""
@@ -103,21 +106,28 @@ def _hashable(df: DataFrame, name: str) -> Column:
 
 
 def normalize(df: DataFrame, args_encoding: str = "base64") -> DataFrame:
-    """Flat columns beside the nested blocks; see the module text for defaults."""
+    """Flat columns beside the nested blocks; see the module text for defaults.
+
+    Records are ordered by event time, else by the time they were processed, else by ``ingest_time``
+    (given by readers of files, and dropped here), so that a signal of a record without a time has
+    the time it came in. Without all three that is the epoch.
+    """
     if "kind" not in df.columns:
         df = df.withColumn("kind", kind_of(df))
     event_time, event_ns = _clock(df, "event_time")
     processed_time, processed_ns = _clock(df, "processed_time")
+    came_in = timestamp_ns(F.col(INGEST_TIME)) if INGEST_TIME in df.columns else F.lit(None).cast("bigint")
+    fallback = F.coalesce(processed_ns, came_in, F.lit(0).cast("bigint"))
     clocks = {
         "event_time": event_time,
         "processed_time": processed_time,
         "event_time_ns": F.col("event_time_ns") if "event_time_ns" in df.columns else event_ns,
-        "order_ns": F.coalesce(event_ns, processed_ns, F.lit(0).cast("bigint")),
+        "order_ns": F.coalesce(event_ns, fallback),
     }
     if "event_time_ns" in df.columns:
-        clocks["order_ns"] = F.coalesce(F.col("event_time_ns"), processed_ns, F.lit(0).cast("bigint"))
+        clocks["order_ns"] = F.coalesce(F.col("event_time_ns"), fallback)
     if "event_seq" not in df.columns:
-        content = [_hashable(df, c) for c in df.columns]
+        content = [_hashable(df, c) for c in df.columns if c != INGEST_TIME]
         clocks["event_seq"] = F.xxhash64(*content)
     envelope = {n: F.expr(_text(n)) for n in ("machine_id", "boot_session_uuid")}
     df = df.withColumns({**envelope, **clocks})
@@ -125,7 +135,7 @@ def normalize(df: DataFrame, args_encoding: str = "base64") -> DataFrame:
         decoded = {n: decode_list(F.col("execution." + n)) for n in ("args", "envs")}
         block = F.col("execution").withField("args", decoded["args"]).withField("envs", decoded["envs"])
         df = df.withColumn("execution", F.when(F.col("execution").isNotNull(), block))
-    kept = [c for c in df.columns if c not in FLAT_COLUMNS]
+    kept = [c for c in df.columns if c not in FLAT_COLUMNS and c != INGEST_TIME]
     return df.selectExpr(
         *[f"`{c}`" for c in kept], *[f"{sql} AS {name}" for name, sql in FLAT_COLUMNS.items()]
     )

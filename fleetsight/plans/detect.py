@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetsight.functions.predicates import kind_guard
 from fleetsight.operators import first_seen, lineage
 from fleetsight.operators.correlate import correlation_events, fold_windows, window_specs
 from fleetsight.operators.match import holds, match, per_rule
@@ -106,7 +107,9 @@ def correlation_signals(events: DataFrame, rules: EnabledRules, settings: Settin
     passes = F.lit(False)
     for rule in rules.correlations:
         passes = passes | holds(rule["expr"])
-    sample = events.where(passes & F.col("event_time_ns").isNotNull())
+    guard = kind_guard(events.sparkSession, [r["expr"] for r in rules.correlations])
+    named = events if guard is None else events.where(guard)
+    sample = named.where(passes & F.col("event_time_ns").isNotNull())
     fire = fires.withColumnRenamed("payload", "machine_id").withColumns({
         "event_time_ns": F.col("ts_ns"), "event_seq": F.col("seq"),
     })

@@ -253,7 +253,7 @@ def _derived_catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
     return Catalogue(
         rules=o.where("fam = 0").select(*common),
         correlations=o.where("fam = 1").select(*common, "window", "threshold", F.col("fields").alias("group_by")),
-        baselines=o.where("fam = 2").selectExpr(*common, track),
+        baselines=o.where("fam = 2").selectExpr(*common, track, "'1h' AS learning_period"),
     )
 
 

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetsight.functions.durations import duration_ns
 from fleetsight.functions.paths import clean_path, path_type
 from fleetsight.schema import (
     BASELINES_DDL,
     CORRELATIONS_DDL,
+    DEFAULT_MAX_EVENTS,
     RULES_DDL,
     SEVERITIES,
     catalogue_ddl,
@@ -36,7 +36,7 @@ class InvalidCatalogue(ValueError):
 
 @dataclass
 class Catalogue:
-    """The three rule families as DataFrames with a ``source_file`` column."""
+    """The three rule families as DataFrames with a ``source_file`` column and, of files, each rule's ``place`` in it."""
 
     rules: DataFrame
     correlations: DataFrame
@@ -53,7 +53,10 @@ class Catalogue:
     def merge(self, other: Catalogue) -> Catalogue:
         bad = [b for b in (self.unreadable, other.unreadable) if b is not None]
         return Catalogue(
-            *[mine.unionByName(other.families()[name]) for name, mine in self.families().items()],
+            *[
+                mine.unionByName(other.families()[name], allowMissingColumns=True)
+                for name, mine in self.families().items()
+            ],
             unreadable=bad[0].unionByName(bad[1]) if len(bad) == 2 else (bad[0] if bad else None),
         )
 
@@ -69,7 +72,11 @@ def read_catalogue(spark: SparkSession, path: str) -> Catalogue:
         .text(path, wholetext=True)
         .select(F.from_json("value", schema, read).alias("r"), F.col("_metadata.file_path").alias("source_file"))
     )
-    families = [files.select(F.inline(f"r.{name}"), "source_file") for name in FAMILIES]
+    families = [
+        files.select(F.posexplode(f"r.{name}").alias("place", "rule"), "source_file")
+        .where(F.col("rule").isNotNull()).select("rule.*", "source_file", "place")
+        for name in FAMILIES
+    ]
     unreadable = files.where(F.col("r._corrupt").isNotNull()).select("source_file")
     return Catalogue(*families, unreadable=unreadable)
 
@@ -78,10 +85,10 @@ def catalogue_of(spark: SparkSession, families: dict[str, list[dict]], source_fi
     """A catalogue given as Python records."""
     frames = []
     for name, ddl in FAMILIES.items():
-        schema = T.StructType.fromDDL(ddl + ", source_file string")
+        schema = T.StructType.fromDDL(ddl + ", source_file string, place int")
         rows = [
-            tuple({"source_file": source_file, **r}.get(f.name) for f in schema)
-            for r in families.get(name, [])
+            tuple({"source_file": source_file, "place": place, **r}.get(f.name) for f in schema)
+            for place, r in enumerate(families.get(name, []))
         ]
         frames.append(spark.createDataFrame(rows, schema))
     return Catalogue(*frames)
@@ -108,6 +115,22 @@ def _empty_items(name: str) -> Column:
     return F.exists(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) == "")
 
 
+# How durations are written.
+_PARTS = r"(\d+(\.\d+)?(ns|us|µs|ms|s|m|h))+"
+_ZERO_PARTS = r"(0+(\.0+)?(ns|us|µs|ms|s|m|h))+"
+
+
+def _duration_checks(name: str) -> tuple[Column, list[Column]]:
+    """(whether a duration is missing or zero, checks that it is well-formed and not negative)."""
+    text = F.trim(F.coalesce(F.col(name), F.lit("")))
+    nothing = text.rlike(f"^([+-]?(0|{_ZERO_PARTS}))?$")
+    malformed = ~nothing & ~text.rlike(f"^[+-]?{_PARTS}$")
+    return nothing, [
+        _check("duration", malformed, F.concat(F.lit(f"{name} is not a duration: "), text)),
+        _check("duration", ~nothing & ~malformed & text.startswith("-"), F.lit(f"{name} must not be negative")),
+    ]
+
+
 def _family_checks(family: str) -> list[Column]:
     checks = []
     for name in ("id", "title", "expr", "severity"):
@@ -118,14 +141,15 @@ def _family_checks(family: str) -> list[Column]:
         _check("severity", (severity != "") & ~severity.isin(*SEVERITIES), F.concat(F.lit("invalid severity: "), severity))
     )
     if family == "correlations":
-        no_window = F.coalesce(F.col("window"), F.lit("")).rlike(r"^([0.]*[a-zµ]*)*$")
-        checks.append(_check("required", no_window, F.lit("window is required")))
+        no_window, well_formed = _duration_checks("window")
+        checks += [_check("required", no_window, F.lit("window is required")), *well_formed]
         checks.append(_check("threshold", F.coalesce(F.col("threshold"), F.lit(0)) <= 0, F.lit("threshold must be greater than 0")))
         checks.append(_check("group_by", _empty_items("group_by"), F.lit("group_by has an empty field")))
     if family == "baselines":
         size = F.size(F.coalesce(F.col("track"), F.array().cast("array<string>")))
         checks.append(_check("required", size == 0, F.lit("track is required")))
         checks.append(_check("track", _empty_items("track"), F.lit("track has an empty field")))
+        checks += _duration_checks("learning_period")[1]
     return checks
 
 
@@ -204,21 +228,17 @@ def plan_violations(events: DataFrame, families: dict[str, list[Row]]) -> DataFr
             if family == "rules":
                 paths = list(rule["extra_context"] or [])
             rows += [(rule["id"], family, "path", p) for p in _path_problems(events, paths)]
-            text = rule["window"] if family == "correlations" else rule["learning_period"] if family == "baselines" else None
-            try:
-                duration_ns(text)
-            except ValueError as err:
-                rows.append((rule["id"], family, "duration", str(err)))
     names = [f.name for f in T.StructType.fromDDL(VIOLATIONS_DDL)]
     table = pa.table({n: pa.array([r[i] for r in rows], pa.string()) for i, n in enumerate(names)})
     return events.sparkSession.createDataFrame(table, VIOLATIONS_DDL)
 
 
 def collect_rules(frame: DataFrame, enabled_only: bool = True) -> list[Row]:
-    """Rules to compile, in catalogue order. The catalogue is small by nature; its size is checked."""
+    """Rules to compile, in the order of files and of places in them. The catalogue is small by nature; its size is checked."""
     if enabled_only:
         frame = frame.where(F.coalesce(F.col("enabled"), F.lit(False)))
-    rows = frame.limit(MAX_RULES + 1).collect()
+    order = [c for c in ("source_file", "place") if c in frame.columns]
+    rows = frame.orderBy(*order, "id").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules in one family")
     return rows
@@ -235,17 +255,29 @@ class EnabledRules:
         return any(r["include_process_tree"] for r in self.rules)
 
 
-def load_rules(catalogue: Catalogue, events: DataFrame, strict: bool = True) -> EnabledRules:
+def _beyond_cap(correlations: list[Row], max_events: int | None) -> list[Row]:
+    """Thresholds that a window of at most ``max_events`` events never reaches."""
+    violation = Row("rule_id", "family", "check", "detail")
+    return [
+        violation(r["id"], "correlations", "threshold", f"threshold {r['threshold']} is above the cap of {max_events} events")
+        for r in correlations if max_events and (r["threshold"] or 0) > max_events
+    ]
+
+
+def load_rules(
+    catalogue: Catalogue, events: DataFrame, strict: bool = True, max_events: int | None = DEFAULT_MAX_EVENTS
+) -> EnabledRules:
     """Checked and enabled rules; raises ``InvalidCatalogue`` on any violation.
 
-    With ``strict=False`` unknown paths are allowed and read as empty text.
+    With ``strict=False`` unknown paths are allowed and read as empty text. ``max_events`` is the cap
+    that the rules will run with (``Settings.max_events``).
     """
     broken = catalogue_violations(catalogue).collect()  # a few for each rule at most
     families = {name: collect_rules(frame, False) for name, frame in catalogue.families().items()}
     planned = plan_violations(events, families)
     if not strict:
         planned = planned.where(F.col("check") != "path")
-    broken += planned.collect()
+    broken += planned.collect() + _beyond_cap(families["correlations"], max_events)
     if broken:
         raise InvalidCatalogue(broken)
     return EnabledRules(**{n: [r for r in rows if r["enabled"]] for n, rows in families.items()})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetsight.functions.durations import duration_ns
-from fleetsight.operators.normalize import kind_of
+from fleetsight.operators.normalize import INGEST_TIME, kind_of
 from fleetsight.schema import KINDS, OPEN_KINDS, UNKNOWN_KIND, telemetry_schema
 
 CORRUPT = "_corrupt"
@@ -94,6 +94,29 @@ def _text_lines(spark: SparkSession, path, stability_wait: str | None, as_of: Co
     return lines
 
 
+def _empty_files(spark: SparkSession, path, stability_wait: str | None, as_of: Column | None) -> DataFrame:
+    """Files without a byte. Spark plans no task for them; its listing has them, and no scan by name does."""
+    def same(column: str) -> Column:
+        return F.regexp_replace(column, "^file:/+", "file:/")
+
+    names = spark.read.text(path).inputFiles()  # as many as the listing that a scan holds
+    listed = spark.createDataFrame([(n,) for n in names], f"{SOURCE} string").select(same(SOURCE).alias(SOURCE))
+    # The content is not selected, so no file is opened.
+    held = spark.read.format("binaryFile").load(path).select(same("_metadata.file_path").alias(SOURCE))
+    empty = listed.join(held, SOURCE, "left_anti")
+    if not stability_wait:
+        return empty
+    clock = F.current_timestamp() if as_of is None else as_of
+    latest = spark.range(1).select(F.unix_millis(clock) - duration_ns(stability_wait) // 1_000_000).first()[0]
+    stable = []
+    for name in [r[0] for r in empty.collect()]:  # some of the listed names
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        if status.getModificationTime() <= latest:
+            stable.append((name,))
+    return spark.createDataFrame(stable, f"{SOURCE} string")
+
+
 def read_json_lines(
     spark: SparkSession,
     path,
@@ -107,8 +130,8 @@ def read_json_lines(
     """(events, rejected files) of JSON-lines spool files.
 
     Limits hold only where they are given. One bad line or one broken limit rejects the whole file, as does a file without a single
-    telemetry record. ``rejected`` has ``source_file`` and ``reason``. Spark hands no empty file
-    to a reader, so those are seen by neither output.
+    telemetry record and an empty one. ``rejected`` has ``source_file`` and ``reason``. Events have their
+    file's modification time as ``ingest_time``.
     """
     lines = _text_lines(spark, path, stability_wait, as_of)
     parsed = _parsed(lines, name_style)
@@ -129,9 +152,10 @@ def read_json_lines(
         .when(F.col("event_rows") == 0, F.lit("no records")),
     )
     rejected = verdict.where(F.col("reason").isNotNull()).select(SOURCE, "reason")
-    records = parse_lines(lines.drop("_size", "_mtime"), name_style)
+    records = parse_lines(lines.drop("_size").withColumnRenamed("_mtime", INGEST_TIME), name_style)
     events = _with_records(records.join(rejected, SOURCE, "left_anti")).drop(CORRUPT)
-    return events, rejected
+    empty = _empty_files(spark, path, stability_wait, as_of).withColumn("reason", F.lit("empty file"))
+    return events, rejected.unionByName(empty)
 
 
 def stream_json_lines(

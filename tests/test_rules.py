@@ -7,7 +7,9 @@ import pytest
 from conftest import SMALL, execution, file_access
 from pyspark.errors import AnalysisException
 
+from fleetsight.functions.predicates import implied_kinds
 from fleetsight.operators import first_seen
+from fleetsight.operators.correlate import window_specs
 from fleetsight.operators.match import match
 from fleetsight.operators.signals import as_signals, signals_from_matches
 from fleetsight.plans import detect as plan
@@ -23,6 +25,7 @@ from fleetsight.sources.catalogue import (
     predicate_problem,
     read_catalogue,
 )
+from fleetsight.sources.telemetry import read_normalized, write_normalized
 
 
 def rule(id, expr="kind = 'execution'", **fields):
@@ -88,6 +91,108 @@ def test_violations_are_reported_together(spark, one_event):
     }
 
 
+def test_durations_are_checked_once(spark, one_event):
+    texts = {"Z": "0h0m", "N": "-5m", "M": "abc", "P": "5m x", "OK": "1h30.5m", "SPACE": " 5m ", "NONE": None, "U": "5"}
+    families = {
+        "correlations": [{**rule(k), "window": v, "threshold": 1} for k, v in texts.items()],
+        "baselines": [{**rule("L"), "track": ["machine_id"], "learning_period": "-1h"},
+                      {**rule("L0"), "track": ["machine_id"], "learning_period": "0s"},
+                      {**rule("LX"), "track": ["machine_id"], "learning_period": "soon"}],
+    }
+    with pytest.raises(InvalidCatalogue) as err:
+        load_rules(catalogue_of(spark, families), one_event)
+    assert sorted((v.rule_id, v.check) for v in err.value.violations) == [
+        ("L", "duration"), ("LX", "duration"), ("M", "duration"), ("N", "duration"), ("NONE", "required"),
+        ("P", "duration"), ("U", "duration"), ("Z", "required"),
+    ]
+
+
+def test_thresholds_that_no_window_reaches(spark, one_event):
+    catalogue = catalogue_of(spark, {"correlations": [{**rule("C"), "window": "5m", "threshold": 1500}]})
+    with pytest.raises(InvalidCatalogue) as err:
+        load_rules(catalogue, one_event)
+    assert [(v.rule_id, v.check) for v in err.value.violations] == [("C", "threshold")]
+    found = load_rules(catalogue, one_event, max_events=2000).correlations
+    assert window_specs(found, 2000)[0].threshold == 1500
+    assert window_specs(found, 0)[0].threshold == 1500
+    with pytest.raises(ValueError, match="above the cap"):
+        window_specs(found)
+
+
+def test_rules_come_in_the_order_of_files_and_places(spark, one_event):
+    import os
+
+    path = tempfile.mkdtemp(prefix="fleetsight-test-")
+    os.makedirs(path + "/b")
+    write(path, "c.json", {"rules": [rule("Z"), rule("A")]})
+    write(path, "b/x.json", {"rules": [rule("M"), rule("B"), rule("K")]})
+    write(path, "a.json", {"rules": [rule("Y")]})
+    rules = load_rules(read_catalogue(spark, path), one_event).rules
+    assert [r.id for r in rules] == ["Y", "M", "B", "K", "Z", "A"]
+    both = read_catalogue(spark, path).merge(catalogue_of(spark, {"rules": [rule("Q"), rule("P")]}))
+    assert [r.id for r in load_rules(both, one_event).rules] == ["Y", "M", "B", "K", "Z", "A", "Q", "P"]
+
+
+@pytest.mark.parametrize("expr, kinds", [
+    ("kind = 'execution'", {"execution"}),
+    ("'fork' = KIND AND event_seq / 0 = 1", {"fork"}),
+    ("kind IN ('a', 'b') AND kind = 'a'", {"a"}),
+    ("kind = 'a' AND kind = 'b'", set()),
+    ("(kind = 'a' AND decision = 'x') OR kind IN ('b', 'c')", {"a", "b", "c"}),
+    ("kind = 'a' OR decision = 'x'", None),
+    ("NOT kind = 'a'", None),
+    ("kind <> 'a'", None),
+    ("kind = target_path", None),
+    ("kind IN ('a', target_path)", None),
+    ("kind = 1", None),
+    ("kind <=> 'a'", None),
+    ("upper(kind) = 'A'", None),
+    ("execution.kind = 'a'", None),
+    ("exists(decoded_args, kind -> kind = 'a')", None),
+    ("exists(decoded_args, a -> a = 'x') AND kind = 'a'", {"a"}),
+    ("kind = = 'a'", None),
+])
+def test_kinds_that_a_predicate_implies(spark, expr, kinds):
+    assert implied_kinds(spark, expr) == kinds
+
+
+def test_only_the_kinds_of_rules_are_read(spark, events_of):
+    path = tempfile.mkdtemp(prefix="fleetsight-test-") + "/store"
+    pairs = [execution(seq=1, path="/x"), file_access(seq=2), execution(seq=3, path="/y")]
+    write_normalized(events_of(pairs), path)
+    stored = read_normalized(spark, path)
+    bad = "kind = 'execution' AND cast(target_path AS int) = 1"
+    families = {"rules": [rule("E", "kind = 'execution' AND target_path = '/x'"), rule("BAD", bad),
+                          rule("BAD2", bad + " AND cast(target_path AS int) = 1"),
+                          rule("OVER", "kind = 'execution' AND event_seq + 9223372036854775807 < 0"),
+                          rule("OVER2", "kind = 'execution' AND event_seq + 9223372036854775807 < 5")]}
+    rules = load_rules(catalogue_of(spark, families), stored).rules
+    hits = match(stored, rules)
+    shown = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [kind" in shown and "execution" in shown.split("PartitionFilters: ")[1].split("]")[0]
+    assert [(r.rule_idx, r.event_seq) for r in hits.collect()] == [(0, 1)]
+    assert [(r.rule_idx, r.event_seq) for r in match(events_of(pairs), rules).collect()] == [(0, 1)]
+    windows = [{**rule("C", "kind = 'execution' AND octet_length(target_path) > 0"), "window": "5m", "threshold": 2}]
+    window = load_rules(catalogue_of(spark, {"correlations": windows}), stored)
+    fired = plan.correlation_signals(stored, window, plan.Settings())
+    shown = fired._jdf.queryExecution().executedPlan().toString()
+    assert 0 < shown.count("PartitionFilters: [kind") == shown.count("PartitionFilters: ")
+    assert fired.count() == 1
+    none = load_rules(catalogue_of(spark, {"rules": [rule("NEVER", "kind = 'a' AND kind = 'b'")]}), stored).rules
+    assert match(stored, none).count() == 0
+
+
+def test_many_rules_are_planned(spark, events_of):
+    import time
+
+    events = events_of([execution(seq=1, path="/x1")])
+    many = [rule(f"R{i}", f"kind = 'execution' AND target_path = '/x{i}'") for i in range(2000)]
+    rules = catalogue_of(spark, {"rules": many}).rules.orderBy("place").collect()
+    start = time.time()
+    assert [r.rule_idx for r in match(events, rules).select("rule_idx").collect()] == [1]
+    assert time.time() - start < 60
+
+
 def test_lenient_paths_are_allowed(spark, one_event):
     families = {"correlations": [{**rule("D"), "window": "5m", "threshold": 1, "group_by": ["event.no.such"]}]}
     assert len(load_rules(catalogue_of(spark, families), one_event, strict=False).correlations) == 1

@@ -47,13 +47,41 @@ def test_json_lines(spark):
         empty="",
     )
     events, rejected = read_json_lines(spark, path)
-    assert names(rejected) == {"bad": "bad line", "array": "bad line", "none": "no records"}
+    assert names(rejected) == {"bad": "bad line", "array": "bad line", "none": "no records", "empty": "empty file"}
     ev = normalize(events)
     rows = ev.orderBy("kind").collect()
     assert [(r.kind, r.target_path, r.decoded_args) for r in rows] == [("execution", "/x", ["-a"]), ("file_access", "/t", [])]
     assert {r.source_file.rsplit("/", 1)[1] for r in rows} == {"good"}
 
 
+def test_empty_files_wait_like_others(spark):
+    import os
+
+    path = folder(**{"old one": "", "new": "", "good": lines(execution(seq=1)[0])})
+    for name, at in (("old one", 1_000), ("new", 5_000), ("good", 1_000)):
+        os.utime(f"{path}/{name}", (at, at))
+    as_of = F.timestamp_seconds(F.lit(5_002))
+    events, rejected = read_json_lines(spark, path, stability_wait="1h", as_of=as_of)
+    assert events.count() == 1 and names(rejected) == {"old%20one": "empty file"}
+    assert set(names(read_json_lines(spark, path)[1])) == {"old%20one", "new"}
+    only = folder(nothing="")
+    events, rejected = read_json_lines(spark, only)
+    assert events.count() == 0 and names(rejected) == {"nothing": "empty file"}
+
+
+def test_records_without_a_time_have_that_of_their_file(spark):
+    import os
+
+    untimed = {k: v for k, v in execution(seq=1)[0].items() if k != "event_time"}
+    timed = execution(seq=2, at="2024-01-01T00:00:00Z")[0]
+    path = folder(spool=lines(untimed, {**untimed, "processed_time": "2024-01-02T00:00:00Z"}, timed))
+    os.utime(f"{path}/spool", (7_000, 7_000))
+    ev = normalize(read_json_lines(spark, path)[0])
+    assert "ingest_time" not in ev.columns
+    days = [1_704_067_200, 1_704_153_600]
+    assert sorted(r.order_ns for r in ev.collect()) == [n * 10**9 for n in (7_000, *days)]
+
+
 def test_json_limits(spark):
     record = execution(seq=1)[0]
     path = folder(many=lines(*[record] * 5), long=lines({**record, "machine_id": "m" * 5000}), ok=lines(record))
