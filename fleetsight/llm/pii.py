@@ -1,21 +1,30 @@
 """Personal data, and terms that reveal it by their information content.
 
 Base kinds are patterns of fixed form: mail and network addresses, card and phone numbers. They are the
-protected entities. Beside them, terms that co-occur with an entity can reveal it once it is gone:
-with counts over the corpus, the pointwise mutual information of a term and an entity,
+protected entities. Beside them, terms that co-occur with an entity can reveal it once it is gone. With
+counts over the N different texts of the corpus, the pointwise mutual information of a term and an entity,
 
-    PMI(t; e) = log2( p(e | t) / p(e) ),  p(e | t) = (n(t, e) + PRIOR * n(e) / N) / (n(t) + PRIOR),
+    PMI(t; e) = log2( p(e | t) / p(e) ),  p(e | t) = (n(t, e) + c * n(e) / N) / (n(t) + c),
 
 is the part of the entity's information IC(e) = log2(N / n(e)) that the term discloses. Terms that
 disclose at least a threshold share of it are added as spans of kind ``term`` wherever they stand in
-a document that holds the entity. All counts are of whole documents; equal texts count once, so copies
-prove nothing. Every entity is assessed, however rare: the prior, a document at chance level, is what
-keeps a single meeting in a small corpus from proving as much as many do.
-
-Passes. The first finds base spans and, where there are any, the terms of the document. The second
-counts the documents of every term. A term is paired with an entity of its document unless even the
-largest n(t, e) that both counts allow would disclose too little; this loses nothing. Everything is
-aggregated before a shuffle or split by Spark's joins; the driver sees no data.
+a document that holds the entity. Counts are of whole documents; equal texts count once, near copies
+each for itself.
+
+The prior c is texts at chance level. Any rare word meets the entities of its only document, so for
+plain words c = N ** (1 - threshold), which leaves a single meeting just short of the threshold in a
+corpus of any size; two meetings of a word that is met nowhere else are enough. Names, words that
+a document writes with a capital within its sentences and never without, have c = 1: one that is met
+nowhere else discloses an entity even by a single meeting.
+
+Where an entity is rare, its parts are assessed as well: the domain and the local part of a mail
+address, the leading numbers of the other kinds. PMI(t; part) is information about the entity too, so it
+is set against IC(e), and meetings with all entities that share the part prove it.
+
+Passes. The first finds base spans. Of documents with an entity or part that any term could disclose,
+the second stores the terms. Those that meet it often enough to disclose it, if they stand nowhere else,
+are counted over all documents by the third. Everything is aggregated before a shuffle or split by
+Spark's joins; the driver sees no data.
 """
 
 from __future__ import annotations
@@ -32,8 +41,8 @@ from pyspark.sql import functions as F
 from fleetsight.llm.common import broadcast_within, numbered, stored, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents at chance level that count beside those with a term.
-PRIOR = 1.0
+#: Texts at chance level that count beside those with a name.
+NAME_PRIOR = 1.0
 #: Share of an entity's information that a term may not disclose.
 DISCLOSURE = 0.8
 #: Share from which on a term is removed; below, a general word stands for it.
@@ -41,9 +50,12 @@ REMOVE_FROM = 0.95
 PLACEHOLDERS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
 _TERM_KIND = len(KINDS)
 _ROWS = 512
-#: Bytes up to which row numbers of copies are broadcast, so that whole texts need no shuffle.
-BROADCAST_COPIES = 16 << 20
+#: Bytes up to which row numbers and terms are broadcast, so that whole texts need no shuffle.
+BROADCAST_BYTES = 16 << 20
 _ROW_BYTES = 16
+_TERM_BYTES = 48
+#: Last digits of a card or phone number that are no part of its prefix.
+_OWN_DIGITS = 4
 
 # Fixed forms. All run in one pass: what repeats is possessive, or starts at an anchor that occurs once.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -53,6 +65,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TERM = regex.compile(r"\p{L}{3,}")
 _DIGITS = re.compile(r"[^0-9]+")
+_SENTENCE_ENDS = frozenset(".!?:\n")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -107,96 +120,184 @@ def _terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             yield m.start(), m.end()
 
 
-_FOUND = "row long, doc_id long, copy binary, spans array<struct<start:int,stop:int,kind:int,entity:string>>, terms array<struct<start:int,stop:int,term:string>>"
+def _parts(kind: int, entity: str) -> list[str]:
+    """An entity and what it shares with others: domain, local part, leading numbers."""
+    name = KINDS[kind]
+    whole = f"{name}:{entity}"
+    if kind == 0:
+        local, domain = entity.rsplit("@", 1)
+        return [whole, f"{name}:@{domain}", f"{name}:{local}@"]
+    if kind == 1:
+        return [whole, f"{name}:{entity.rsplit('.', 1)[0]}."]
+    return [whole, f"{name} prefix:{_DIGITS.sub('', entity)[:-_OWN_DIGITS]}"]
+
+
+_FOUND = "row long, doc_id long, copy binary, spans array<struct<start:int,stop:int,kind:int>>, clues array<struct<entity:string,part:string>>"
 
 
 def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base spans, and the terms of documents that have any; ``copy`` is the identity of the text."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("entity", pa.string())]))
-    term = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("term", pa.string())]))
+    """Base spans and the different parts of their entities; ``copy`` is the identity of the text."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32())]))
+    clue = pa.list_(pa.struct([("entity", pa.string()), ("part", pa.string())]))
     for batch in batches:
         for at in range(0, batch.num_rows, _ROWS):
             part = batch.slice(at, _ROWS)
-            copies, spans, terms = [], [], []
+            copies, spans, clues = [], [], []
             for text in part.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 copies.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                spans.append([{"start": s, "stop": e, "kind": k, "entity": f"{KINDS[k]}:{text[s:e].lower()}"} for s, e, k in base])
-                terms.append([{"start": s, "stop": e, "term": text[s:e]} for s, e in _terms(text, base)] if base else [])
+                spans.append([{"start": s, "stop": e, "kind": k} for s, e, k in base])
+                entities = dict.fromkeys((k, text[s:e].lower()) for s, e, k in base)
+                clues.append([{"entity": p[0], "part": q} for p in (_parts(*e) for e in entities) for q in p])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row"), part.column("doc_id"), pa.array(copies, pa.binary()), pa.array(spans, span), pa.array(clues, clue)],
+                names=["row", "doc_id", "copy", "spans", "clues"],
+            )
+
+
+_TERMS = "row long, term string, name boolean, places array<struct<start:int,stop:int>>"
+
+
+def document_terms(text: str) -> dict[str, tuple[bool, list[tuple[int, int]]]]:
+    """Terms of a text outside base spans, lower-cased: whether it is written as a name, and its places."""
+    found: dict[str, list] = {}
+    for start, stop in _terms(text, base_spans(text)):
+        before = start
+        while before and text[before - 1].isspace() and text[before - 1] != "\n":
+            before -= 1
+        begins = before == 0 or text[before - 1] in _SENTENCE_ENDS
+        own = found.setdefault(text[start:stop].lower(), [True, False, []])
+        own[0] &= text[start].isupper()
+        own[1] |= not begins
+        own[2].append((start, stop))
+    return {term: (capital and within, places) for term, (capital, within, places) in found.items()}
+
+
+def _terms_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of documents; of those not ``plain`` only names, as no other can disclose anything there."""
+    place = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("row", "text", "plain"))
+        for row, text, plain in zip(*columns):
+            kept = [(t, name, at) for t, (name, at) in document_terms(text or "").items() if plain or name]
+            if not kept:
+                continue
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), pa.array(copies, pa.binary()), pa.array(spans, kind), pa.array(terms, term)],
-                names=["row", "doc_id", "copy", "spans", "terms"],
+                [
+                    pa.array([row] * len(kept), pa.int64()), pa.array([t for t, _, _ in kept], pa.string()),
+                    pa.array([name for _, name, _ in kept], pa.bool_()),
+                    pa.array([[{"start": s, "stop": e} for s, e in at] for _, _, at in kept], place),
+                ],
+                names=["row", "term", "name", "places"],
             )
 
 
 def find_spans(base: DataFrame) -> DataFrame:
-    """row, doc_id, identity of the text, base spans and terms, for each of the numbered documents."""
+    """row, doc_id, identity of the text, base spans and clues, for each of the numbered documents."""
     return stored(texts_of(base).mapInArrow(_found, _FOUND))
 
 
-def _share(n_te: Column, n_t: Column, n_e: Column, total: int) -> Column:
-    """Share of the entity's information that the term discloses; grows with n_te."""
-    by_term = (n_te + PRIOR * n_e / total) / (F.greatest(n_t, n_te) + PRIOR)
-    return F.log2(by_term * total / n_e) / F.log2(F.greatest(total / n_e, F.lit(1.0001)))
+def _bits(n_tp: Column, n_t: Column, n_p: Column, prior: Column, total: int) -> Column:
+    """Information that a term discloses; grows with n_tp. A term counts at least as often as it meets the part."""
+    by_term = (n_tp + prior * n_p / total) / (F.greatest(n_t, n_tp) + prior)
+    return F.log2(by_term * total / n_p)
 
 
-def disclosing_terms(base: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(copy, term, share): terms of a text that disclose at least ``disclosure`` of an entity in it, and the most they do.
+def _bits_of(n_e: Column, total: int) -> Column:
+    return F.log2(F.greatest(total / n_e, F.lit(1.0001)))
+
+
+def _known_parts(found: DataFrame, firsts: DataFrame, total: int, disclosure: float) -> DataFrame:
+    """Parts in each row that some term could disclose.
 
-    A term that is found in fewer documents than beside the entity counts as often as the latter.
+    With texts that hold it (n_p), with those of the most frequent entity there that has it (n_e), whether
+    the row ``counts`` (is the first of its copies), and whether a ``plain`` word could disclose it.
     """
+    held = stored(
+        found.where(F.size("clues") > 0).join(firsts, F.col("row") == F.col("first"), "left")
+        .select("row", F.col("first").isNotNull().alias("counts"), F.explode("clues").alias("c")).select("row", "counts", "c.entity", "c.part")
+    )
+    sizes = stored(
+        held.where("counts").select("row", "part").distinct().groupBy(F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    )
+    both = (
+        held.join(sizes.withColumnRenamed("n", "n_p"), F.col("part") == F.col("p")).drop("p")
+        .join(sizes.withColumnRenamed("n", "n_e"), F.col("entity") == F.col("p"))
+        .groupBy("row", "counts", "part").agg(F.first("n_p").alias("n_p"), F.max("n_e").alias("n_e"))
+    )
+    n_p, need = F.col("n_p"), disclosure * _bits_of(F.col("n_e"), total)
+    return stored(
+        both.withColumn("plain", _bits(n_p, n_p, n_p, F.lit(_plain_prior(total, disclosure)), total) >= need)
+        .where(F.col("plain") | (_bits(n_p, n_p, n_p, F.lit(NAME_PRIOR), total) >= need))
+    )
+
+
+def _plain_prior(total: int, disclosure: float) -> float:
+    return float(total) ** (1 - disclosure)
+
+
+def disclosing_terms(base: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(row, term, places, share): terms of a row that disclose at least ``disclosure`` of an entity in it, and the most they do."""
     firsts = stored(found.groupBy("copy").agg(F.min("row").alias("first")).select("first"))
-    total = firsts.count()
-    again = stored(found.select("row").join(firsts, F.col("row") == F.col("first"), "left_anti"))
-    once = texts_of(base).join(broadcast_within(again, _ROW_BYTES, BROADCAST_COPIES), "row", "left_anti")
-    found_words = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}]{3,}"), F.lit(0)), F.lower)
-    by_word = once.select(F.explode(F.array_distinct(found_words)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
-
-    holding = found.where(F.size("terms") > 0).join(firsts, F.col("row") == F.col("first"), "left_semi")
-    terms = holding.select("copy", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["term"])))).alias("term"))
-    terms = terms.join(by_word, F.col("term") == F.col("w"), "left").select("copy", "term", "n_t")
-    entities = holding.select("copy", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
-    often = entities.groupBy(F.col("entity").alias("e")).agg(F.count(F.lit(1)).alias("n_e"))
-    entities = stored(entities.join(often, F.col("entity") == F.col("e")).select("copy", "entity", "n_e"))
-    # Of entities that no other text holds, all are disclosed alike: one of each text stands for them.
-    entities = entities.where("n_e > 1").unionByName(
-        entities.where("n_e = 1").groupBy("copy").agg(F.min("entity").alias("entity"), F.first("n_e").alias("n_e"))
-    ).withColumnRenamed("copy", "c")
-    at_most = _share(F.least("n_t", "n_e"), F.col("n_t"), F.col("n_e"), total)
-    pairs = stored(
-        terms.join(entities, (F.col("copy") == F.col("c")) & (F.col("n_t").isNull() | (at_most >= disclosure))).select("copy", "entity", "term", "n_e", "n_t")
+    total = max(firsts.count(), 1)
+    known = _known_parts(found, firsts, total, disclosure)
+    rows = stored(known.groupBy("row").agg(F.bool_or("plain").alias("plain")))
+    wanted = texts_of(base).join(broadcast_within(rows, _ROW_BYTES, BROADCAST_BYTES), "row").select("row", "text", "plain")
+    terms = stored(wanted.mapInArrow(_terms_in, _TERMS))
+
+    prior = F.when(F.col("name"), F.lit(NAME_PRIOR)).otherwise(F.lit(_plain_prior(total, disclosure)))
+    need = disclosure * _bits_of(F.col("n_e"), total)
+    met = terms.join(known, "row").where(F.col("name") | F.col("plain"))
+    n_tp, n_p = F.col("n_tp"), F.col("n_p")
+    likely = stored(
+        met.where("counts").groupBy("part", "term")
+        .agg(F.count(F.lit(1)).alias("n_tp"), F.bool_and("name").alias("name"), F.first("n_p").alias("n_p"), F.max("n_e").alias("n_e"))
+        .where(_bits(n_tp, n_tp, n_p, prior, total) >= need)
     )
-    telling = (
-        pairs.groupBy(F.col("entity").alias("e"), F.col("term").alias("t"))
-        .agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
-        .select("e", "t", _share(F.col("n_te"), F.col("n_t"), F.col("n_e"), total).alias("share")).where(F.col("share") >= disclosure)
+    by_word = _counted(base, found, firsts, stored(likely.select("term").distinct()))
+    telling = stored(
+        likely.join(by_word, F.col("term") == F.col("w"), "left")
+        .withColumn("bits", _bits(n_tp, F.col("n_t"), n_p, prior, total)).where(F.col("bits") >= need)
+        .select(F.col("part").alias("p"), F.col("term").alias("t"), "bits")
     )
+    share = F.col("bits") / _bits_of(F.col("n_e"), total)
     return stored(
-        pairs.select("copy", "entity", "term").join(telling, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
-        .groupBy("copy", "term").agg(F.max("share").alias("share"))
+        met.join(telling, (F.col("part") == F.col("p")) & (F.col("term") == F.col("t")))
+        .withColumn("share", share).where(F.col("share") >= disclosure)
+        .groupBy("row", "term").agg(F.first("places").alias("places"), F.max("share").alias("share"))
     )
 
 
+def _counted(base: DataFrame, found: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(w, n_t): in how many different texts each of the ``wanted`` terms stands."""
+    again = stored(found.select("row").join(firsts, F.col("row") == F.col("first"), "left_anti"))
+    once = texts_of(base).join(broadcast_within(again, _ROW_BYTES, BROADCAST_BYTES), "row", "left_anti")
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}]{3,}"), F.lit(0)), F.lower)
+    each = once.select(F.explode(F.array_distinct(words)).alias("w"))
+    size = wanted.agg(F.sum(F.octet_length("term") + _TERM_BYTES).alias("size")).first()["size"] or 0
+    if size <= BROADCAST_BYTES:
+        each = each.join(F.broadcast(wanted), F.col("w") == F.col("term"), "left_semi")
+    counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
+    return counts if size <= BROADCAST_BYTES else counts.join(wanted, F.col("w") == F.col("term"), "left_semi")
+
+
 def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): row, doc_id and spans (start, kind, stop, share), in order.
 
     Base spans are 0 to 3 by kind and have no share; terms are 4. Null texts count as empty; rows
     with equal or null ids count each for itself; an empty table gives no rows. Very long texts are
-    searched whole; the terms of one are one row. Only doc_id and text are read.
+    searched whole; each of its terms is one row with all its places. Only doc_id and text are read.
     """
     return _spans(numbered(docs), disclosure)
 
 
 def _spans(base: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     found = find_spans(base)
-    telling = disclosing_terms(base, found, disclosure).withColumnsRenamed({"copy": "c", "term": "telling"})
     terms = (
-        found.select("row", "copy", F.explode("terms").alias("t"))
-        .select("row", "copy", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.lower("t.term").alias("term"))
-        .join(telling, (F.col("copy") == F.col("c")) & (F.col("term") == F.col("telling")))
+        disclosing_terms(base, found, disclosure).select("row", "share", F.explode("places").alias("at"))
         .groupBy("row").agg(F.collect_list(F.struct(
-            "start", F.lit(_TERM_KIND).alias("kind"), "stop", "share"
+            F.col("at.start").alias("start"), F.lit(_TERM_KIND).alias("kind"), F.col("at.stop").alias("stop"), "share"
         )).alias("more"))  # no more than the terms of one document
     )
     plain = F.transform("spans", lambda s: F.struct(

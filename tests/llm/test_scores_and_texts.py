@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from array import array
 
 import numpy as np
 import pytest
+import regex
 from odd_rows import SMALL, docs, no_docs  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -200,6 +202,69 @@ def test_a_name_met_once_discloses(spark):
     assert not any(found[i].spans for i in range(1, 102))
 
 
+def plain_terms(texts, threshold=0.8):
+    """Terms that disclose, for each text, straight from the definition."""
+    prefix = {"email": lambda e: ["@" + e.rsplit("@", 1)[1], e.rsplit("@", 1)[0] + "@"], "ip": lambda e: [e[:e.rindex(".") + 1]]}
+    different = sorted(set(texts))
+    total = len(different)
+    holders, named, own = {}, {}, {}
+    for text in different:
+        spans = plain_spans(text)
+        own[text] = {}
+        for s, e, k in spans:
+            kind, entity = pii.KINDS[k], text[s:e].lower()
+            others = prefix.get(kind, lambda e: [re.sub("[^0-9]", "", e)[:-4]])(entity)
+            own[text].setdefault((kind, "", entity), set()).update([(kind, "", entity), *((kind, "part", o) for o in others)])
+        for part in set().union(*own[text].values()):
+            holders.setdefault(part, set()).add(text)
+        named[text] = {}
+        for m in regex.finditer(r"\p{L}{3,}", text):
+            if not any(s < m.end() and m.start() < e for s, e, _ in spans):
+                before = regex.sub(r"[^\S\n]+$", "", text[:m.start()])
+                within = before != "" and before[-1] not in ".!?:\n"
+                named[text].setdefault(m[0].lower(), []).append((m[0][0].isupper(), within))
+    words = {text: {w.lower() for w in regex.findall(r"\p{L}{3,}", text)} for text in different}
+    as_name = {t: {w: all(c for c, _ in seen) and any(i for _, i in seen) for w, seen in named[t].items()} for t in different}
+    answer = {}
+    for text in different:
+        answer[text] = set()
+        for entity, parts in own[text].items():
+            information = math.log2(max(total / len(holders[entity]), 1.0001))
+            for part in parts:
+                for term in named[text]:
+                    n_p, met = len(holders[part]), [t for t in holders[part] if term in named[t]]
+                    prior = 1.0 if all(as_name[t][term] for t in met) else total ** (1 - threshold)
+                    n_t = max(sum(term in words[t] for t in different), len(met))
+                    bits = math.log2((len(met) + prior * n_p / total) / (n_t + prior) * total / n_p)
+                    if bits / information >= threshold:
+                        answer[text].add(term)
+    return answer
+
+
+def test_terms_are_those_of_the_measure(spark):
+    rnd = random.Random(11)
+    vocabulary = [a + b for a in ("mor", "Tel", "vis", "Kan", "rud") for b in ("al", "en", "ist", "or", "um", "eska")]
+    people = [(f"{n}@{d}.example", n) for n in ("ada", "Bo.K", "cy") for d in ("one", "two")] + [("10.1.2.7", "net"), ("10.1.2.9", "net")]
+    texts = []
+    for i in range(70):
+        line = [rnd.choice(vocabulary) for _ in range(rnd.randint(1, 12))]
+        if rnd.random() < 0.4:
+            mail, name = rnd.choice(people)
+            line[rnd.randrange(len(line)):0] = [mail, f"Xander{name[:2]}" if rnd.random() < 0.7 else "x", "ring +49 170 555 0%03d" % rnd.randint(100, 103)]
+        texts.append(rnd.choice(["", "Note. ", "so: "]) + " ".join(line))
+    texts += texts[:9] + ["", ""]
+    want = plain_terms(texts)
+    found = pii.all_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: {texts[r.doc_id][s.start:s.stop].lower() for s in r.spans if s.kind == 4} for r in found}
+    assert got == {i: want[t] for i, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 5 and sum(not x for x in want.values()) > 20
+
+
+def test_plain_rare_words_beside_an_address_stay(spark):
+    rows = [(i, f"note of {'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10] * 3} words and user{i}@host{i}.example here") for i in range(90)]
+    assert not [s for r in pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans if s.kind == 4]
+
+
 def test_tree_concatenation_is_exact():
     own = tree_bpe.codec(vocabulary_path(tree_bpe.VOCABULARY))
     rnd = random.Random(5)
