@@ -15,7 +15,8 @@ The prior c is texts at chance level. Any rare word meets the entities of its on
 plain words c = N ** (1 - threshold), which leaves a single meeting just short of the threshold in a
 corpus of any size; two meetings of a word that is met nowhere else are enough. Names, words that
 a document writes with a capital within its sentences and never without, have c = 1: one that is met
-nowhere else discloses an entity even by a single meeting.
+nowhere else discloses an entity even by a single meeting. Where plain words could disclose nothing,
+because they met too few texts at most, only meetings as a name count.
 
 Where an entity is rare, its parts are assessed as well: the domain and the local part of a mail
 address, the leading numbers of the other kinds. PMI(t; part) is information about the entity too, so it
@@ -209,7 +210,7 @@ def _bits_of(n_e: Column, total: int) -> Column:
 
 
 def _known_parts(found: DataFrame, firsts: DataFrame, total: int, disclosure: float) -> DataFrame:
-    """Parts in each row that some term could disclose.
+    """Parts in each row that some term could disclose, as 64-bit hashes.
 
     With texts that hold it (n_p), with those of the most frequent entity there that has it (n_e), whether
     the row ``counts`` (is the first of its copies), and whether a ``plain`` word could disclose it.
@@ -224,7 +225,9 @@ def _known_parts(found: DataFrame, firsts: DataFrame, total: int, disclosure: fl
     both = (
         held.join(sizes.withColumnRenamed("n", "n_p"), F.col("part") == F.col("p")).drop("p")
         .join(sizes.withColumnRenamed("n", "n_e"), F.col("entity") == F.col("p"))
-        .groupBy("row", "counts", "part").agg(F.first("n_p").alias("n_p"), F.max("n_e").alias("n_e"))
+        # Parts that no other text holds are met by the same terms, those of their text: one stands for all.
+        .groupBy("row", "counts", F.when(F.col("n_p") > 1, F.col("part")).alias("shared"))
+        .agg(F.min(F.xxhash64("part")).alias("part"), F.first("n_p").alias("n_p"), F.max("n_e").alias("n_e")).drop("shared")
     )
     n_p, need = F.col("n_p"), disclosure * _bits_of(F.col("n_e"), total)
     return stored(
@@ -250,11 +253,12 @@ def disclosing_terms(base: DataFrame, found: DataFrame, disclosure: float = DISC
     need = disclosure * _bits_of(F.col("n_e"), total)
     met = terms.join(known, "row").where(F.col("name") | F.col("plain"))
     n_tp, n_p = F.col("n_tp"), F.col("n_p")
-    likely = stored(
-        met.where("counts").groupBy("part", "term")
-        .agg(F.count(F.lit(1)).alias("n_tp"), F.bool_and("name").alias("name"), F.first("n_p").alias("n_p"), F.max("n_e").alias("n_e"))
-        .where(_bits(n_tp, n_tp, n_p, prior, total) >= need)
+    counted = met.where("counts").select("part", "term", "name", "n_p", "n_e")
+    alone = counted.where("n_p = 1").withColumn("n_tp", F.lit(1).cast("long"))  # met in one text, so no need to count
+    often = counted.where("n_p > 1").groupBy("part", "term").agg(
+        F.bool_and("name").alias("name"), F.first("n_p").alias("n_p"), F.max("n_e").alias("n_e"), F.count(F.lit(1)).alias("n_tp")
     )
+    likely = stored(alone.unionByName(often).where(_bits(n_tp, n_tp, n_p, prior, total) >= need))
     by_word = _counted(base, found, firsts, stored(likely.select("term").distinct()))
     telling = stored(
         likely.join(by_word, F.col("term") == F.col("w"), "left")
@@ -262,24 +266,32 @@ def disclosing_terms(base: DataFrame, found: DataFrame, disclosure: float = DISC
         .select(F.col("part").alias("p"), F.col("term").alias("t"), "bits")
     )
     share = F.col("bits") / _bits_of(F.col("n_e"), total)
+    # Places travel only with terms that disclose something somewhere.
+    said = stored(telling.select(F.col("t").alias("term")).distinct())
+    marked = terms.join(F.broadcast(said) if _term_bytes(said) <= BROADCAST_BYTES else said, "term", "left_semi")
     return stored(
-        met.join(telling, (F.col("part") == F.col("p")) & (F.col("term") == F.col("t")))
+        marked.join(known, "row")
+        .join(telling, (F.col("part") == F.col("p")) & (F.col("term") == F.col("t")))
         .withColumn("share", share).where(F.col("share") >= disclosure)
         .groupBy("row", "term").agg(F.first("places").alias("places"), F.max("share").alias("share"))
     )
 
 
+def _term_bytes(terms: DataFrame) -> int:
+    return terms.agg(F.sum(F.octet_length("term") + _TERM_BYTES).alias("size")).first()["size"] or 0
+
+
 def _counted(base: DataFrame, found: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(w, n_t): in how many different texts each of the ``wanted`` terms stands."""
     again = stored(found.select("row").join(firsts, F.col("row") == F.col("first"), "left_anti"))
     once = texts_of(base).join(broadcast_within(again, _ROW_BYTES, BROADCAST_BYTES), "row", "left_anti")
     words = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}]{3,}"), F.lit(0)), F.lower)
     each = once.select(F.explode(F.array_distinct(words)).alias("w"))
-    size = wanted.agg(F.sum(F.octet_length("term") + _TERM_BYTES).alias("size")).first()["size"] or 0
-    if size <= BROADCAST_BYTES:
+    small = _term_bytes(wanted) <= BROADCAST_BYTES
+    if small:
         each = each.join(F.broadcast(wanted), F.col("w") == F.col("term"), "left_semi")
     counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
-    return counts if size <= BROADCAST_BYTES else counts.join(wanted, F.col("w") == F.col("term"), "left_semi")
+    return counts if small else counts.join(wanted, F.col("w") == F.col("term"), "left_semi")
 
 
 def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
