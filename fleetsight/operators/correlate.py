@@ -31,6 +31,7 @@ from fleetsight.operators.slices import (
 )
 from fleetsight.operators.window_fold import Fire, SliceFold, WindowSpec, entry_applies
 from fleetsight.schema import DEFAULT_MAX_EVENTS
+from fleetsight.session import ensure_checkpoint_dir
 
 GLOBAL_GROUP = "_global"
 FLEET = "fleet"
@@ -124,7 +125,9 @@ def fold_windows(
     )
     folded_type = _struct(_FOLD_DDL + events.schema["payload"].dataType.simpleString())
     entry_type = _struct(_ENTRY_DDL)
-    folded = ordered.mapInArrow(_folder(tuple(specs), to_arrow_schema(folded_type)), folded_type)
+    ensure_checkpoint_dir(events.sparkSession)
+    # Fires and exits are read from it, so it is folded once and stored: few rows, those that can fire.
+    folded = ordered.mapInArrow(_folder(tuple(specs), to_arrow_schema(folded_type)), folded_type).checkpoint()
     fires = folded.where(~F.col("last"))
     entries = (
         folded.where("last")

@@ -238,3 +238,11 @@ def test_fold_plan_has_one_wide_shuffle_and_no_group_udf(events_of):
     found = correlation_events(events, [rule])
     plan = fold_windows(found, [WindowSpec(300 * SECOND, 2, 1000, False)])._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_windows_are_folded_once(events_of):
+    found = correlation_events(events_of([deny(1), deny(2)]), [_correlation("C", expr=DENIED, window="5m", threshold=2)])
+    fires = fold_windows(found, [WindowSpec(300 * SECOND, 2, 1000, False)])
+    # What is left to run is the pass over the slices that fired; the fold itself is stored.
+    assert fires._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    assert fires.count() == 1
