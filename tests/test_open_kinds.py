@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from fleetsight.functions.json_text import Members, last_members, overwrite_json
+from fleetsight.functions.json_text import Members, last_members, merge_json, overwrite_json
 from fleetsight.functions.paths import path_text, path_type
 from fleetsight.operators.match import holds, match
 from fleetsight.operators.normalize import event_json, normalize
@@ -94,6 +94,41 @@ def test_last_members(spark):
     assert one(spark, last_members(F.col("t")), t="[1]") is None
 
 
+def test_parts_of_a_context_are_named_once(spark):
+    events = parsed(spark, {"machine_id": "m", "authentication": {"v": 1}})
+    whole = Members([("a", F.lit(1))])
+    whole.put("event", event_json(normalize(events)), is_json=True)
+    stored = [(n, F.col(n).cast("string")) for n in ("a", "b")]
+    for column, costly in [
+        (whole.json(), "date_format(event_time"), (last_members(F.col("t")), "from_json"), (overwrite_json(F.col("t"), stored), "from_json"),
+    ]:
+        assert str(column).count(costly) == 1
+
+
+def test_values_in_blocks_are_named_once(spark):
+    events = parsed(spark, {"machine_id": "m", "authentication": {"v": 1}})
+    text = str(path_text(events, "authentication.v"))
+    # Of each level its kind and its members: the value itself, and what lists and objects in it hold.
+    assert text.count("schema_of_variant") == text.count("map<string,variant>") == 3
+
+
+@pytest.mark.parametrize("base, extra, expected", [
+    ('{"a":"}{"}', '{"b":"\\n{\U0001f600"}', '{"a":"}{","b":"\\n{\U0001f600"}'), ("{}", "{}", "{}"), (None, None, "{}"),
+    ('{"a":"x\ny"}', None, '{"a":"x\ny"}'), (None, '{"b":{}}', '{"b":{}}'),
+])
+def test_members_of_two_objects(spark, base, extra, expected):
+    df = spark.createDataFrame([(base, extra)], "a string, b string")
+    assert df.select(merge_json(F.col("a"), F.col("b"))).first()[0] == expected
+
+
+def test_nothing_to_overwrite_leaves_the_text(spark):
+    nothing = [("a", F.lit(None).cast("string"))]
+    assert one(spark, overwrite_json(F.col("t"), nothing), t='{ "a" : 1 }') == '{ "a" : 1 }'
+    df = spark.createDataFrame([(None,)], "t string")
+    assert df.select(overwrite_json(F.col("t"), nothing)).first()[0] == "{}"
+    assert df.select(overwrite_json(F.col("t"), [("a", F.lit("x"))])).first()[0] == '{"a":"x"}'
+
+
 FAILING = [
     "event_seq + 9223372036854775807 < 0", "cast(event_seq * 10000000000 AS int) < 0", "element_at(array(1), cast(event_seq - event_seq AS int)) = 1",
     "kind rlike concat('(', kind)", "raise_error('x') = 'y'", "1 / (event_seq - event_seq) > 0", "cast(kind AS int) = 1", "CAST(NULL AS boolean)",
