@@ -33,28 +33,32 @@ def path_type(schema: T.StructType, path: str) -> T.DataType | None:
 VARIANT_DEPTH = 2
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` over ``value``, which a one-element list binds to one evaluation however often it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def variant_text(value: Column, depth: int = VARIANT_DEPTH) -> Column:
     """Text of a VARIANT by what it holds: as typed values have it, null as NULL."""
     if not depth:
         return F.try_variant_get(value, "$", "string")
-    # A one-element list binds the value, which the text names many times, to one evaluation.
-    return F.get(F.transform(F.array(value), lambda v: _text_by_kind(v, depth)), 0)
-
+    return _bound(value, lambda v: _bound(F.schema_of_variant(v), lambda kind: _text_by_kind(v, kind, depth)))
 
-def _text_by_kind(value: Column, depth: int) -> Column:
-    kind = F.schema_of_variant(value)
 
+def _text_by_kind(value: Column, kind: Column, depth: int) -> Column:
     def inner(x: Column) -> Column:
         return F.coalesce(variant_text(x, depth - 1), F.lit("<nil>"))
 
+    def shown(members: Column) -> Column:
+        return F.transform(
+            F.array_sort(F.map_keys(members)), lambda k: F.concat(k, F.lit(":"), inner(F.element_at(members, k)))
+        )
+
     items = F.transform(F.try_variant_get(value, "$", "array<variant>"), inner)
-    members = F.try_variant_get(value, "$", "map<string,variant>")
-    shown = F.transform(
-        F.array_sort(F.map_keys(members)), lambda k: F.concat(k, F.lit(":"), inner(F.element_at(members, k)))
-    )
+    by_name = _bound(F.try_variant_get(value, "$", "map<string,variant>"), shown)
     return (
         F.when(kind.startswith("ARRAY"), F.concat(F.lit("["), F.array_join(items, " "), F.lit("]")))
-        .when(kind.startswith("OBJECT"), F.concat(F.lit("map["), F.array_join(shown, " "), F.lit("]")))
+        .when(kind.startswith("OBJECT"), F.concat(F.lit("map["), F.array_join(by_name, " "), F.lit("]")))
         .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), as_text(F.try_variant_get(value, "$", "double"), T.DoubleType()))
         .otherwise(F.try_variant_get(value, "$", "string"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def parse_rfc3339(text: Column) -> Column:
     """TIMESTAMP (microseconds) of an RFC 3339 text, NULL if it is not one."""
     well_formed = text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
-    return F.when(well_formed, F.upper(text).try_cast("timestamp"))
+    return F.when(well_formed, F.translate(text, "tz", "TZ").try_cast("timestamp"))
 
 
 def rfc3339_ns(text: Column) -> Column:
