@@ -330,3 +330,12 @@ def test_simple_rules_are_one_scan_without_python(spark):
     rules = load_rules(default_catalogue(spark), ev).rules
     text = match(ev, rules)._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan parquet") == 1 and "Exchange" not in text and "Python" not in text
+
+
+def test_predicates_are_compiled(spark, events_of):
+    events = events_of([execution()])
+    hits = match(events, load_rules(default_catalogue(spark), events).rules)
+    plan_text = hits._jdf.queryExecution().executedPlan().toString()
+    line = next(x for x in plan_text.splitlines() if "Generate explode" in x)
+    assert "*(" in line, line
+    assert "octet_length" not in line  # the predicates are a projection below
