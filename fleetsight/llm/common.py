@@ -41,16 +41,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _STORED.remove(path)
+
+
+def _read_by(table: DataFrame) -> list[str]:
+    """Folders of stored tables that ``table`` reads."""
+    needed = table.inputFiles()
+    return [p for p in _STORED if any(f"/{p.rsplit('/', 1)[-1]}/" in file for file in needed)]
+
+
 def clear_stored(docs: DataFrame) -> None:
     """Removes the tables that this session stored so far, but for those that ``docs`` reads.
 
     For a chain of steps: what one step stored for itself is of no use once its result is written.
     """
-    needed = docs.inputFiles()
-    for path in [p for p in _STORED if not any(f"/{p.rsplit('/', 1)[-1]}/" in file for file in needed)]:
-        where = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-        _STORED.remove(path)
+    needed = _read_by(docs)
+    _remove(docs.sparkSession, [p for p in _STORED if p not in needed])
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Removes stored tables, as they came from ``stored``, that no later step reads."""
+    for table in tables:
+        _remove(table.sparkSession, _read_by(table))
 
 
 def numbered(docs: DataFrame, bits: int = 63) -> DataFrame:

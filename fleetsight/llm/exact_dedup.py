@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.common import SPACE_CLASS, numbered, stored, texts_of
+from fleetsight.llm.common import SPACE_CLASS, drop_stored, numbered, stored, texts_of
 
 #: Code points in a block. A parameter.
 BLOCK = 1024
@@ -93,7 +93,9 @@ def _identities(base: DataFrame, block: int) -> DataFrame:
         if most <= 1:
             return reduce(DataFrame.unionByName, done)
         # Halves with each level, so there are at most as many levels as the place has bits.
-        level = stored(_named(stored(_paired(level.where("n > 1"))), ["left", "right"]))
+        pairs = stored(_paired(level.where("n > 1")))
+        level = stored(_named(pairs, ["left", "right"]))
+        drop_stored(pairs)
         most, depth = (most + 1) // 2, depth + 1
 
 

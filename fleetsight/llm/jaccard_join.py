@@ -17,7 +17,8 @@
    dealt into blocks by hash, and every two blocks meet in one task, which counts common shingles by
    products of incidence matrices; so a set is sent once per block of its component, not once per pair.
 
-Shuffles carry prefix rows, pairs, and the sets of candidates; texts only of documents in candidates.
+Shuffles carry prefix rows, pairs, and the sets of candidates; texts only of documents in candidates. A table
+that no later step reads is removed at once.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.common import broadcast_within, numbered, stored, texts_of
+from fleetsight.llm.common import broadcast_within, drop_stored, numbered, stored, texts_of
 from fleetsight.llm.components import components
 
 WORDS = 5
@@ -295,13 +296,17 @@ class _Join:
             .where("low <> high").select("t")
         )
         held = prefixes.join(broadcast_within(common, _TOKEN_BYTES), F.col("token") == F.col("t")).drop("t")
-        rows = self.merged(stored(held.dropDuplicates(["token", "sig"])))
+        shared_rows = stored(held.dropDuplicates(["token", "sig"]))
+        drop_stored(prefixes, common)
+        rows = self.merged(shared_rows)
+        drop_stored(shared_rows)
         degrees = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).withColumnRenamed("sig", "s")
         # A set whose whole prefix is shared is likely in the middle of its group.
         self.rows = stored(
             rows.join(degrees, F.col("sig") == F.col("s"))
             .select("token", "sig", "n", "place", (F.col("held") / F.col("slots")).alias("weight"))
         )
+        drop_stored(rows)
 
     @staticmethod
     def merged(rows: DataFrame) -> DataFrame:
@@ -313,7 +318,9 @@ class _Join:
             F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sig").cast("decimal(38,0)")).alias("y")
         )
         kept = stored(sums.groupBy("members", "x", "y").agg(F.min("token").alias("t")).select("t"))
-        return stored(rows.join(broadcast_within(kept, _TOKEN_BYTES), F.col("token") == F.col("t")).drop("t"))
+        out = stored(rows.join(broadcast_within(kept, _TOKEN_BYTES), F.col("token") == F.col("t")).drop("t"))
+        drop_stored(kept)
+        return out
 
     def stars(self, rows: DataFrame, number: int) -> DataFrame:
         """Pairs of each shingle's leader with its other members; another leader in each round."""
@@ -363,7 +370,9 @@ class _Join:
             .join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
             .select("a", "b", "x", "y")
         )
-        return stored(both.mapInArrow(functools.partial(_verified, self.percent), "a binary, b binary"))
+        found = stored(both.mapInArrow(functools.partial(_verified, self.percent), "a binary, b binary"))
+        drop_stored(pairs, wanted, sets)
+        return found
 
     def with_components(self, rows: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Rows of shingles whose members lie in several components, with each member's."""
@@ -384,9 +393,13 @@ class _Join:
             found = self.verified(pairs)
             links = found if links is None else stored(links.unionByName(found))
             roots = components(links)
+            if number:
+                drop_stored(rows)
             rows, number = self.with_components(self.rows, roots), number + 1
             # Also where no star has a pair left that may link: later rounds would have the same.
-            if found.count() * STAR_YIELD <= pairs.count() or rows.isEmpty():
+            done = found.count() * STAR_YIELD <= pairs.count() or rows.isEmpty()
+            drop_stored(pairs)
+            if done:
                 break
         links = stored(links.unionByName(self.verified(self.pairs(rows).distinct())))
         return links, components(links)
@@ -417,7 +430,9 @@ class _Join:
         found = meeting.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(
             functools.partial(_links_of_blocks, self.percent), "sig binary, links long"
         )
-        return stored(found.groupBy("sig").agg(F.sum("links").alias("links")))
+        counted = stored(found.groupBy("sig").agg(F.sum("links").alias("links")))
+        drop_stored(wanted, sets)
+        return counted
 
 
 def jaccard_components(
