@@ -289,11 +289,10 @@ class _Join:
         prefixes = stored(
             self.texts.select("text").mapInArrow(functools.partial(_prefixes, words, percent, shared), _PREFIX)
         )
-        # Different sets of one shingle, told by 64 bits: numbers travel instead of identities.
+        # Most shingles are in one row, and a shingle and a count are all that travels of these. Those that only
+        # copies of one set share go with the first merging, which knows the different sets of each.
         common = stored(
-            prefixes.groupBy(F.col("token").alias("t"))
-            .agg(F.min(F.xxhash64("sig")).alias("low"), F.max(F.xxhash64("sig")).alias("high"))
-            .where("low <> high").select("t")
+            prefixes.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("t")
         )
         held = prefixes.join(broadcast_within(common, _TOKEN_BYTES), F.col("token") == F.col("t")).drop("t")
         shared_rows = stored(held.dropDuplicates(["token", "sig"]))
@@ -310,14 +309,14 @@ class _Join:
 
     @staticmethod
     def merged(rows: DataFrame) -> DataFrame:
-        """One shingle for all that the same sets hold: each of them gives the same pairs.
+        """One shingle for all that the same sets hold: each of them gives the same pairs. One set alone has none.
 
         Members are told by their number and two 64-bit sums over hashes of their 128-bit identities.
         """
         sums = rows.groupBy("token").agg(
             F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sig").cast("decimal(38,0)")).alias("y")
         )
-        kept = stored(sums.groupBy("members", "x", "y").agg(F.min("token").alias("t")).select("t"))
+        kept = stored(sums.where("members > 1").groupBy("members", "x", "y").agg(F.min("token").alias("t")).select("t"))
         out = stored(rows.join(broadcast_within(kept, _TOKEN_BYTES), F.col("token") == F.col("t")).drop("t"))
         drop_stored(kept)
         return out

@@ -7,7 +7,7 @@ import pytest
 from odd_rows import docs, no_docs  # noqa: F401
 from pyspark.sql import functions as F
 
-from fleetsight.llm import jaccard_join
+from fleetsight.llm import common, jaccard_join
 from fleetsight.llm.components import components
 
 
@@ -158,3 +158,11 @@ def test_shingles_of_the_same_sets_are_merged(spark):
     rows = [(t, bytes([s])) for t, sets in {1: [1, 2], 2: [1, 2], 3: [1, 3], 4: [1, 2, 3], 5: [2, 1]}.items() for s in sets]
     merged = jaccard_join._Join.merged(spark.createDataFrame(rows, "token long, sig binary"))
     assert {r.token for r in merged.collect()} == {1, 3, 4}
+
+
+def test_tables_go_when_no_later_step_reads_them(spark):
+    rows = [(i, f"a b c d e f g h i j k l m n o p q r s t {i % 7}") for i in range(40)]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, count_links=True)
+    left = [spark.read.parquet(path).columns for path in common._STORED]
+    assert not [columns for columns in left if "slots" in columns or "shingles" in columns]
+    assert found.count() == 40 and found.where("n_links = 39").count() == 40
