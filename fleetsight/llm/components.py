@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.common import stored
+from fleetsight.llm.common import drop_stored, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,6 +26,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex hangs below one other, and that below none: then rounds change nothing any more."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("below")).unionByName(
+        edges.select(F.col("b").alias("v"), F.lit(0).alias("below"))
+    )
+    seen = ends.groupBy("v").agg(F.sum("below").alias("above"), F.min("below").alias("root"))
+    return seen.where("above > 1 OR above = 1 AND root = 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(vertex, root) for every vertex of ``links`` (a, b): the root is the component's smallest vertex.
 
@@ -33,14 +42,13 @@ def components(links: DataFrame) -> DataFrame:
     the shared folder. Links with a null end or equal ends are left out.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     while True:
-        small = stored(_star(stored(_star(edges, large=True)), large=False))
-        state = tuple(small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        large = stored(_star(edges, large=True))
+        small = stored(_star(large, large=False))
+        drop_stored(edges, large)
         edges = small
-        if state == before:
+        if _settled(edges):
             break
-        before = state
     return edges.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct()
     )

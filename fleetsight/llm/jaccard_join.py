@@ -1,7 +1,7 @@
 """Exact Jaccard join of word shingles: rare-first prefixes, length, positional and suffix filters.
 
 1. One pass over the texts gives each document's distinct shingles as 64-bit hashes, the identity of
-   the set, counts of its hashes in fixed ranges, and, per task, counts of all shingles in a sketch
+   the set, a bit for each residue of its hashes, and, per task, counts of all shingles in a sketch
    of fixed size. The sketch only orders shingles from rare to frequent; any order gives the same
    links, so its collisions cost time at worst.
 2. A second pass emits the prefix of each set in that order. Two sets that link share a prefix
@@ -9,10 +9,12 @@
 3. Candidates. All pairs below a shingle would be quadratic in a group of near copies. So stars come
    first: the member whose prefix is shared the most is paired with the others, the pairs are
    verified, and components are formed. After that only pairs across components can matter for the
-   result; star rounds go on while a good part of their pairs link, and then all pairs across
-   components that are left are formed. No cap is set, and no link between components is missed.
-4. A pair is a candidate once, however many shingles it shares; the suffix filter compares the
-   counts in ranges, and what remains is verified by the full sets.
+   result; star rounds go on while a good part of their pairs link and all pairs that are left would be
+   many for each row, and then all pairs across components that are left are formed. No cap is set, and no link between components is missed.
+4. Two sets are paired at their first shared shingle, or not: by their sizes, by what follows it in
+   both, and by how many of its prefix the set shares with any other. A pair is a candidate once,
+   however many shingles it shares; the suffix filter compares bits, as many as a set has shingles, so
+   it works on long texts too, and what remains is verified by the full sets.
 5. Where each document's number of links is asked for, all pairs within a component count. Its sets are
    dealt into blocks by hash, and every two blocks meet in one task, which counts common shingles by
    products of incidence matrices; so a set is sent once per block of its component, not once per pair.
@@ -30,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetsight.llm.common import broadcast_within, drop_stored, numbered, stored, texts_of
@@ -41,15 +43,14 @@ WORDS = 5
 PERCENT = 80
 #: log2 of the cells in the frequency sketch: its size, and that of its broadcast (2 MB), is fixed.
 SKETCH_BITS = 18
-#: Ranges of hashes whose counts the suffix filter compares, a power of two, and the largest count told apart.
-RANGES = 128
-_MOST = 127
-#: Stars go on while at least one in so many of their pairs links.
+#: Stars go on while at least one in so many of their pairs links, and while all pairs that are left would be
+#: more than so many for each row.
 STAR_YIELD = 10
+PAIRS_PER_ROW = 16
 #: Bytes up to which the numbers of wanted sets are broadcast, so that whole texts need no shuffle. Tables of
 #: tokens are broadcast as far as the session lets joins do so.
 BROADCAST_SETS = 16 << 20
-_TOKEN_BYTES, _SET_BYTES = 16, 48
+_TOKEN_BYTES, _CLASS_BYTES, _SET_BYTES = 16, 24, 48
 _ROWS = 256
 #: Sets in a block, about; two blocks are in memory at once.
 BLOCK = 128
@@ -85,9 +86,19 @@ def _identity(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _counts(shingles: np.ndarray, shift: np.uint64) -> np.ndarray:
-    """Shingles in each range of hashes. Counts stop at the largest byte, which can only make two look more alike."""
-    return np.minimum(np.bincount((shingles >> shift).astype(np.int64), minlength=RANGES), _MOST).astype(np.int8)
+def _odds(shingles: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes: whether an odd number of them has it. As many bits as shingles, up to twice."""
+    width = 1 << max(6, (shingles.size - 1).bit_length())
+    found = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits(found.astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Shingles that are in one of two sets only, at least: each changes one bit. The longer bits are folded."""
+    left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(left), len(right))
+    left, right = (np.bitwise_xor.reduce(side.reshape(-1, size), axis=0) for side in (left, right))
+    return int(np.bitwise_count(left ^ right).sum())
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -98,17 +109,16 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
             yield list(zip(*[c.to_pylist() for c in part.columns]))
 
 
-_PROFILE = "row long, doc_id long, n int, sig binary, ranges array<tinyint>, cell int, seen long"
+_PROFILE = "row long, doc_id long, n int, sig binary, odds binary, cell int, seen long"
 
 
 def _profiles(words: int, bits: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end a row per cell of the task's sketch."""
     schema = pa.schema([
         ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()),
-        ("ranges", pa.list_(pa.int8())), ("cell", pa.int32()), ("seen", pa.int64()),
+        ("odds", pa.binary()), ("cell", pa.int32()), ("seen", pa.int64()),
     ])
     seen = np.zeros(1 << bits, np.int64)
-    shift = np.uint64(64 - RANGES.bit_length() + 1)
     for rows in _texts(batches):
         sets = [shingle_set(text, words) for _, _, text in rows]
         if any(s.size for s in sets):
@@ -117,7 +127,7 @@ def _profiles(words: int, bits: int, batches: Iterable[pa.RecordBatch]) -> Itera
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
             pa.array([s.size for s in sets], pa.int32()),
             pa.array([_identity(s) if s.size else None for s in sets], pa.binary()),
-            pa.array([_counts(s, shift) if s.size else None for s in sets], pa.list_(pa.int8())),
+            pa.array([_odds(s) if s.size else None for s in sets], pa.binary()),
             pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()),
         ], schema=schema)
     cells = np.flatnonzero(seen)
@@ -126,11 +136,11 @@ def _profiles(words: int, bits: int, batches: Iterable[pa.RecordBatch]) -> Itera
         k = len(some)
         yield pa.RecordBatch.from_arrays([
             pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
-            pa.nulls(k, pa.list_(pa.int8())), pa.array(some, pa.int32()), pa.array(seen[some], pa.int64()),
+            pa.nulls(k, pa.binary()), pa.array(some, pa.int32()), pa.array(seen[some], pa.int64()),
         ], schema=schema)
 
 
-_PREFIX = "token long, sig binary, n int, place int, slots int"
+_PREFIX = "token long, row long, place int"
 
 
 def _prefixes(words: int, percent: int, sketch, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +149,8 @@ def _prefixes(words: int, percent: int, sketch, batches: Iterable[pa.RecordBatch
     mask = np.uint64(len(seen) - 1)
     sent: set[bytes] = set()  # no more than the documents of one input split
     for rows in _texts(batches):
-        tokens, sigs, sizes, places, slots = [], [], [], [], []
-        for (text,) in rows:
+        tokens, holders, places = [], [], []
+        for row, text in rows:
             shingles = shingle_set(text, words)
             sig = _identity(shingles)
             if not shingles.size or sig in sent:
@@ -155,15 +165,12 @@ def _prefixes(words: int, percent: int, sketch, batches: Iterable[pa.RecordBatch
             pick = np.flatnonzero(counts <= edge)
             order = pick[np.lexsort((shingles[pick], counts[pick]))][:length]
             tokens.append(shingles[order].view(np.int64))
-            sigs += [sig] * length
-            sizes.append(np.full(length, n, np.int32))
+            holders.append(np.full(length, row, np.int64))
             places.append(np.arange(length, dtype=np.int32))
-            slots.append(np.full(length, length, np.int32))
         if tokens:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens)), pa.array(sigs, pa.binary()), pa.array(np.concatenate(sizes)),
-                 pa.array(np.concatenate(places)), pa.array(np.concatenate(slots))],
-                names=["token", "sig", "n", "place", "slots"],
+                [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(holders)), pa.array(np.concatenate(places))],
+                names=["token", "row", "place"],
             )
 
 
@@ -176,6 +183,15 @@ def _sets(words: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         )
 
 
+def _alike(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffix filter: sets that link differ in at most (100 - p) / (100 + p) of both sizes."""
+    for rows in _texts(batches):
+        near = [(a, b) for a, b, n, m, x, y in rows if (100 + percent) * _apart(x, y) <= (100 - percent) * (n + m)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([a for a, _ in near], pa.binary()), pa.array([b for _, b in near], pa.binary())], names=["a", "b"]
+        )
+
+
 def _verified(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _texts(batches):
         linked = []
@@ -253,16 +269,30 @@ def _links_of_blocks(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterato
     yield made()
 
 
-def _may_link(percent: int, n: Column, place: Column, m: Column, other: Column) -> Column:
-    """Length and positional filter for a shared shingle at ``place`` of n and ``other`` of m."""
-    most = F.least(place, other) + 1 + F.least(n - place, m - other) - 1
+def _beyond(percent: int, n: Column) -> Column:
+    """Shingles of a set after its prefix."""
+    return F.ceil(percent * n / 100) - 1
+
+
+def _may_link(percent: int, n: Column, place: Column, rest: Column, m: Column, other: Column, other_rest: Column) -> Column:
+    """Length and positional filter for the first shared shingle of two sets, at ``place`` of n and ``other`` of m.
+
+    What they share follows it in both. All shingles of the prefix that ends first would be in the other prefix if
+    they were in that set, so of this prefix only those from here on that several sets hold (``rest``) can be shared.
+    """
+    most = F.least(
+        F.least(n - place, m - other), F.greatest(rest + _beyond(percent, n), other_rest + _beyond(percent, m))
+    )
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _same_ranges(percent: int, x: Column, y: Column, n: Column, m: Column) -> Column:
-    """Suffix filter: sets that link differ in at most (100 - p) / (100 + p) of both sizes, summed over any ranges."""
-    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
-    return (100 + percent) * apart <= (100 - percent) * (n + m)
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (vertex, root) of ``roots`` with further links between their sets."""
+    if roots is None:
+        return components(links)
+    if links.isEmpty():
+        return roots
+    return components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 class _Join:
@@ -274,12 +304,12 @@ class _Join:
         self.words, self.percent = words, percent
         self.texts = texts_of(base)
         both = stored(self.texts.mapInArrow(functools.partial(_profiles, words, sketch_bits), _PROFILE))
-        self.documents = both.where("cell IS NULL").select("row", "doc_id", "n", "sig", "ranges")
+        self.documents = both.where("cell IS NULL").select("row", "doc_id", "n", "sig", "odds")
         self.vertices = stored(
             self.documents.where("n > 0").groupBy("sig").agg(
                 F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best"),
-                F.first("ranges").alias("ranges"), F.first("n").alias("n"),
-            ).select("sig", F.col("best.doc_id").alias("doc_id"), F.col("best.row").alias("row"), "ranges", "n")
+                F.first("odds").alias("odds"), F.first("n").alias("n"),
+            ).select("sig", F.col("best.doc_id").alias("doc_id"), F.col("best.row").alias("row"), "odds", "n")
         )
         sketch = np.zeros(1 << sketch_bits, np.int64)
         cells = both.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen"))
@@ -287,7 +317,7 @@ class _Join:
             sketch[cell] = seen
         shared = base.sparkSession.sparkContext.broadcast(sketch)
         prefixes = stored(
-            self.texts.select("text").mapInArrow(functools.partial(_prefixes, words, percent, shared), _PREFIX)
+            self.texts.select("row", "text").mapInArrow(functools.partial(_prefixes, words, percent, shared), _PREFIX)
         )
         # Most shingles are in one row, and a shingle and a count are all that travels of these. Those that only
         # copies of one set share go with the first merging, which knows the different sets of each.
@@ -295,29 +325,40 @@ class _Join:
             prefixes.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("t")
         )
         held = prefixes.join(broadcast_within(common, _TOKEN_BYTES), F.col("token") == F.col("t")).drop("t")
-        shared_rows = stored(held.dropDuplicates(["token", "sig"]))
+        # A row's number is shorter than the identity of its set, and is all that prefixes carry of it.
+        named = held.join(self.documents.select("row", "sig", "n"), "row").select("token", "sig", "n", "place")
+        shared_rows = stored(named.dropDuplicates(["token", "sig"]))
         drop_stored(prefixes, common)
-        rows = self.merged(shared_rows)
+        rows = self.merged(shared_rows, "place")
         drop_stored(shared_rows)
-        degrees = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).withColumnRenamed("sig", "s")
+        own, onward = Window.partitionBy("sig"), Window.partitionBy("sig").orderBy(F.desc("place"))
+        slots = F.col("n") - _beyond(percent, F.col("n"))
         # A set whose whole prefix is shared is likely in the middle of its group.
         self.rows = stored(
-            rows.join(degrees, F.col("sig") == F.col("s"))
-            .select("token", "sig", "n", "place", (F.col("held") / F.col("slots")).alias("weight"))
+            rows.select(
+                "token", "sig", "n", "place", (F.sum("alike").over(own) / slots).alias("weight"),
+                F.sum("alike").over(onward).alias("rest"),
+            )
         )
         drop_stored(rows)
 
     @staticmethod
-    def merged(rows: DataFrame) -> DataFrame:
-        """One shingle for all that the same sets hold: each of them gives the same pairs. One set alone has none.
+    def merged(rows: DataFrame, first: str = "token") -> DataFrame:
+        """One shingle, the ``first``, for all that the same sets hold (``alike``): each of them gives the same pairs.
 
+        One set alone has none. Places grow in one order in all sets, so the first by place is that in each of them.
         Members are told by their number and two 64-bit sums over hashes of their 128-bit identities.
         """
         sums = rows.groupBy("token").agg(
-            F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sig").cast("decimal(38,0)")).alias("y")
+            F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("x"),
+            F.sum(F.xxhash64(F.lit(1), "sig").cast("decimal(38,0)")).alias("y"), F.min(first).alias("from"),
+        )
+        kept = stored(
+            sums.where("members > 1").groupBy("members", "x", "y")
+            .agg(F.min(F.struct("from", "token")).alias("least"), F.count(F.lit(1)).alias("alike"))
+            .select(F.col("least.token").alias("t"), "alike")
         )
-        kept = stored(sums.where("members > 1").groupBy("members", "x", "y").agg(F.min("token").alias("t")).select("t"))
-        out = stored(rows.join(broadcast_within(kept, _TOKEN_BYTES), F.col("token") == F.col("t")).drop("t"))
+        out = stored(rows.join(broadcast_within(kept, _CLASS_BYTES), F.col("token") == F.col("t")).drop("t"))
         drop_stored(kept)
         return out
 
@@ -325,38 +366,32 @@ class _Join:
         """Pairs of each shingle's leader with its other members; another leader in each round."""
         rank = F.col("weight") if number == 0 else F.xxhash64(F.lit(number), "comp").cast("double")
         leaders = rows.groupBy(F.col("token").alias("t")).agg(
-            F.max(F.struct(rank.alias("rank"), F.col("sig"), F.col("n"), F.col("place"), F.col("comp"))).alias("l")
+            F.max(F.struct(rank.alias("rank"), F.col("sig"), F.col("n"), F.col("place"), F.col("rest"), F.col("comp"))).alias("l")
         )
         return (
             rows.join(leaders, F.col("token") == F.col("t"))
             .where((F.col("comp") != F.col("l.comp"))
-                   & _may_link(self.percent, F.col("n"), F.col("place"), F.col("l.n"), F.col("l.place")))
+                   & _may_link(self.percent, *[F.col(side + c) for side in ("", "l.") for c in ("n", "place", "rest")]))
             .select(F.least("sig", "l.sig").alias("a"), F.greatest("sig", "l.sig").alias("b"))
         )
 
     def pairs(self, rows: DataFrame) -> DataFrame:
         """All pairs across components that share a prefix shingle and may link."""
-        sized = rows.join(self.vertices.select(F.col("sig").alias("s"), "ranges"), F.col("sig") == F.col("s"))
-        columns = {"token": "t", "sig": "b", "n": "bn", "place": "bp", "comp": "bc", "ranges": "rb"}
-        left = sized.select(
-            "token", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("comp").alias("ac"),
-            F.col("ranges").alias("ra"),
-        )
-        right = sized.select(*[F.col(c).alias(name) for c, name in columns.items()])
-        fits = _may_link(self.percent, F.col("an"), F.col("ap"), F.col("bn"), F.col("bp")) & _same_ranges(
-            self.percent, F.col("ra"), F.col("rb"), F.col("an"), F.col("bn")
-        )
+        names = ("sig", "n", "place", "rest", "comp")
+        left = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in names])
+        right = rows.select(F.col("token").alias("t"), *[F.col(c).alias(f"b_{c}") for c in names])
+        fits = _may_link(self.percent, *[F.col(side + c) for side in ("a_", "b_") for c in ("n", "place", "rest")])
         return left.join(
-            right, (F.col("token") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits
-        ).select("a", "b")
+            right, (F.col("token") == F.col("t")) & (F.col("a_sig") < F.col("b_sig")) & (F.col("a_comp") != F.col("b_comp")) & fits
+        ).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Suffix filter, then the full sets, once per pair."""
-        left = self.vertices.select(F.col("sig").alias("a"), F.col("ranges").alias("ra"), F.col("n").alias("an"))
-        right = self.vertices.select(F.col("sig").alias("b"), F.col("ranges").alias("rb"), F.col("n").alias("bn"))
+        """Suffix filter by bits, then the full sets of what it leaves, once per pair."""
+        left = self.vertices.select(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("odds").alias("x"))
+        right = self.vertices.select(F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("odds").alias("y"))
         pairs = stored(
-            pairs.join(left, "a").join(right, "b")
-            .where(_same_ranges(self.percent, F.col("ra"), F.col("rb"), F.col("an"), F.col("bn"))).select("a", "b")
+            pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "x", "y")
+            .mapInArrow(functools.partial(_alike, self.percent), "a binary, b binary")
         )
         wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
         wanted = stored(wanted.join(self.vertices.select("sig", "row"), "sig"))
@@ -373,36 +408,35 @@ class _Join:
         drop_stored(pairs, wanted, sets)
         return found
 
-    def with_components(self, rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """Rows of shingles whose members lie in several components, with each member's."""
-        if roots is None:
-            return rows.withColumn("comp", F.col("sig"))
+    def with_components(self, rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+        """Rows of shingles whose members lie in several components, with each member's; pairs that these make at most."""
         named = rows.join(roots, F.col("sig") == F.col("vertex"), "left").withColumn("comp", F.coalesce("root", "sig")).drop("vertex", "root")
-        several = (
-            named.groupBy(F.col("token").alias("t")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-            .where("low <> high").select("t")
+        several = stored(
+            named.groupBy(F.col("token").alias("t"))
+            .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("held"))
+            .where("low <> high").select("t", "held")
         )
-        return stored(named.join(several, F.col("token") == F.col("t")).drop("t"))
-
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Verified links (a, b), enough of them for the components, and the components."""
-        rows, links, number = self.with_components(self.rows, None), None, 0
+        most = several.agg(F.sum(F.col("held") * (F.col("held") - 1) / 2)).first()[0] or 0
+        out = stored(named.join(several.select("t"), F.col("token") == F.col("t")).drop("t"))
+        drop_stored(several)
+        return out, most
+
+    def roots(self) -> DataFrame:
+        """The components (vertex, root) of all links; sets without a link may be left out."""
+        rows, roots, number = self.rows.withColumn("comp", F.col("sig")), None, 0
         while True:
             pairs = stored(self.stars(rows, number).distinct())
             found = self.verified(pairs)
-            links = found if links is None else stored(links.unionByName(found))
-            roots = components(links)
+            roots = _joined(roots, found)
             if number:
                 drop_stored(rows)
-            rows, number = self.with_components(self.rows, roots), number + 1
+            (rows, most), number = self.with_components(self.rows, roots), number + 1
             # Also where no star has a pair left that may link: later rounds would have the same.
-            done = found.count() * STAR_YIELD <= pairs.count() or rows.isEmpty()
+            done = most <= PAIRS_PER_ROW * rows.count() or found.count() * STAR_YIELD <= pairs.count()
             drop_stored(pairs)
             if done:
                 break
-        links = stored(links.unionByName(self.verified(self.pairs(rows).distinct())))
-        return links, components(links)
-
+        return _joined(roots, self.verified(self.pairs(rows).distinct()))
 
     def n_links(self, roots: DataFrame) -> DataFrame:
         """(sig, links): documents of another set that each set links with; sets without any are left out."""
@@ -451,7 +485,7 @@ def jaccard_components(
 
 def _components(base: DataFrame, words: int, percent: int, sketch_bits: int, count_links: bool) -> DataFrame:
     join = _Join(base, words, percent, sketch_bits)
-    _, roots = join.links()
+    roots = join.roots()
     placed = join.vertices.join(roots, F.col("sig") == F.col("vertex"), "left").select(
         "sig", "doc_id", "row", F.coalesce("root", "sig").alias("root")
     )

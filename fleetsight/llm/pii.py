@@ -55,6 +55,7 @@ _ROWS = 512
 BROADCAST_BYTES = 16 << 20
 _ROW_BYTES = 16
 _TERM_BYTES = 48
+_SPAN_BYTES = 48
 #: Last digits of a card or phone number that are no part of its prefix.
 _OWN_DIGITS = 4
 
@@ -327,27 +328,26 @@ def span_digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["stop"])), ",")
 
 
-def _sanitised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the text column, which is the last but one, by the spans in the last."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            part = batch.slice(at, _ROWS)
-            texts = []
-            for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                if spans:
-                    out, done = [], 0
-                    for s in spans:
-                        if s["stop"] <= done:
-                            continue
-                        # Where two overlap, what is left of the later one goes with the earlier.
-                        if s["start"] >= done:
-                            out.append(text[done:s["start"]])
-                            if s["kind"] != _TERM_KIND or s["share"] < REMOVE_FROM:
-                                out.append(PLACEHOLDERS[s["kind"]])
-                        done = s["stop"]
-                    text = "".join(out) + text[done:]
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+def _sanitised(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts with what their spans mark replaced; null where there are none."""
+    texts = []
+    for at in range(0, len(text), _ROWS):
+        for whole, found in zip(text.slice(at, _ROWS).to_pylist(), spans.slice(at, _ROWS).to_pylist()):
+            if whole is None or not found:
+                texts.append(None)
+                continue
+            out, done = [], 0
+            for s in found:
+                if s["stop"] <= done:
+                    continue
+                # Where two overlap, what is left of the later one goes with the earlier.
+                if s["start"] >= done:
+                    out.append(whole[done:s["start"]])
+                    if s["kind"] != _TERM_KIND or s["share"] < REMOVE_FROM:
+                        out.append(PLACEHOLDERS[s["kind"]])
+                done = s["stop"]
+            texts.append("".join(out) + whole[done:])
+    return pa.array(texts, pa.string())
 
 
 def sanitise(docs: DataFrame, **settings) -> DataFrame:
@@ -357,13 +357,12 @@ def sanitise(docs: DataFrame, **settings) -> DataFrame:
     """
     columns = docs.columns
     whole = numbered(docs)
-    spans = _spans(whole, **settings).where(F.size("spans") > 0).select("row", "spans")
-    touched = whole.join(spans, "row")
-    cleaned = touched.select("row", F.col("whole.text").cast("string").alias("text"), "spans").mapInArrow(
-        _sanitised, "row long, text string"
-    )
-    # Only documents with a span travel; the new texts are far fewer than all.
-    new = stored(cleaned).withColumnsRenamed({"row": "r", "text": "clean"})
+    spans = stored(_spans(whole, **settings).where(F.size("spans") > 0).select(F.col("row").alias("r"), "spans"))
+    size = spans.agg(F.sum(_ROW_BYTES + F.size("spans") * _SPAN_BYTES)).first()[0] or 0
+    # The texts meet their spans once, without a shuffle while the spans are few; of texts without one Python sees nothing.
+    marked = whole.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, F.col("row") == F.col("r"), "left")
+    clean = F.arrow_udf(_sanitised, "string")(F.when(F.col("r").isNotNull(), F.col("whole.text").cast("string")), F.col("spans"))
+    replaced = marked.withColumn("clean", clean)
     text = F.when(F.col("r").isNotNull(), F.col("clean")).otherwise(F.col("whole.text"))
 
     def value(column: str) -> Column:
@@ -374,4 +373,4 @@ def sanitise(docs: DataFrame, **settings) -> DataFrame:
             return F.when(F.col("r").isNotNull(), F.char_length("clean").cast(kind)).otherwise(F.col("whole.n_chars")).alias("n_chars")
         return F.col("whole")[column].alias(column)
 
-    return whole.join(new, F.col("row") == F.col("r"), "left").select(*[value(c) for c in columns])
+    return replaced.select(*[value(c) for c in columns])

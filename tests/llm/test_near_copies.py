@@ -166,3 +166,39 @@ def test_tables_go_when_no_later_step_reads_them(spark):
     left = [spark.read.parquet(path).columns for path in common._STORED]
     assert not [columns for columns in left if "slots" in columns or "shingles" in columns]
     assert found.count() == 40 and found.where("n_links = 39").count() == 40
+
+
+def test_long_texts_that_share_a_few_words_are_no_pairs(spark):
+    rnd = random.Random(7)
+    rows = [(i, " ".join(f"w{rnd.randrange(300_000)}" for _ in range(3000))) for i in range(12)]
+    base = common.numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    join = jaccard_join._Join(base, 1, 80, 10)
+    left = join.rows.withColumn("comp", F.col("sig"))
+    assert left.count() > 100 and join.pairs(left).count() == 0
+
+
+def test_few_pairs_need_no_second_star(spark, monkeypatch):
+    rounds, stars = [], jaccard_join._Join.stars
+
+    def counted(self, rows, number):
+        rounds.append(number)
+        return stars(self, rows, number)
+
+    monkeypatch.setattr(jaccard_join._Join, "stars", counted)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i:i + 40])) for i in range(12)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80)
+    assert rounds == [0]
+
+
+def test_bits_never_tell_more_apart_than_there_is():
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    for n, more in [(1, 0), (64, 1), (65, 300), (1000, 24), (1000, 25), (20_000, 3000)]:
+        one = np.unique(rnd.integers(0, 1 << 63, n, np.uint64))
+        two = np.unique(np.concatenate((one, rnd.integers(0, 1 << 63, more, np.uint64))))
+        other = np.unique(rnd.integers(0, 1 << 63, n, np.uint64))
+        x, y, z = map(jaccard_join._odds, (one, two, other))
+        assert jaccard_join._apart(x, y) <= len(two) - len(one) and jaccard_join._apart(x, x) == 0
+        assert jaccard_join._apart(x, z) <= 2 * n and (n < 64 or 180 * jaccard_join._apart(x, z) > 20 * 2 * n)

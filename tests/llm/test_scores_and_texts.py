@@ -15,7 +15,7 @@ import regex
 from odd_rows import SMALL, docs, no_docs  # noqa: F401
 from pyspark.sql import functions as F
 
-from fleetsight.llm import packing, pii, quality_ranking, toxicity, tree_bpe, warc
+from fleetsight.llm import common, packing, pii, quality_ranking, toxicity, tree_bpe, warc
 from fleetsight.llm.queries import QUERIES
 from fleetsight.llm.vocab import tokenizer, vocabulary_path
 
@@ -173,6 +173,14 @@ def test_personal_data_in_odd_rows(docs, no_docs):
     assert pii.all_spans(no_docs).count() == 0 and pii.sanitise(no_docs).count() == 0
 
 
+def test_texts_meet_their_spans_once(spark, docs):
+    clean = pii.sanitise(docs)
+    found = clean._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join LeftOuter, (row" in line for line in found.splitlines()) == 1
+    assert not [path for path in common._STORED if spark.read.parquet(path).columns == ["row", "text"]]
+
+
+
 def test_terms_that_disclose_an_entity(spark):
     rows = [(i, f"letter number{'abcdefgh'[i]} from Zorbaxi at z@zorb.example about topic{'abcdefgh'[i]} today") for i in range(6)]
     rows += [(100 + i, f"letter about something else today {'abcdefghij'[i % 10]}") for i in range(60)]
